@@ -53,7 +53,7 @@ def featured(df: DataFrame, value: str = "value", before: str = "before", after:
     return VectorAssembler(inputCols=names, outputCol="features").transform(df).drop(*names)
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 8000, seed: int = 3) -> DataFrame:
     """A bounded set of labelled findings: value, before, after, label (1: a secret)."""
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(f"{seed}-{salt}"), F.col("id")), 256)
     base64 = F.translate(F.base64(F.unhex(h("b"))), "=", "")
@@ -66,6 +66,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, seed: int = 3) -> D
         (0, F.substring(h("a"), 1, 40), ("commit ", "sha1: ", "checksum ", "digest=", "revision "), (" ", " fixes", ".")),
         (0, F.concat_ws("-", *[F.substring(h("u"), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), ("uuid ", "id=", "guid: ", "the "), (" ", ",")),
         (0, words, ("the ", "and ", ". ", "with ", ""), (" the", ".", ",", "")),
+        (0, F.concat(F.initcap(words), pick("i", "", ".", ".")), (". ", "\n", ""), (" the", " ", "")),
+        (0, F.upper(words), ("!! ", " ", "THE "), ("!!", " ", ".")),
         (0, F.concat_ws("/", pick("d", "usr", "home", "src", "www.example.com"), words, pick("e", "index.html", "main.py", "data.json")), ("see ", "https://", "/", "in "), (" ", ".")),
         (0, F.substring(F.conv(F.substring(h("n"), 1, 15), 16, 10), 1, 17), ("order ", "call ", "card ", "no. ", "with "), (" ", ".")),
     ]

@@ -7,6 +7,7 @@ lost executor costs a re-read and not a recomputation from the start.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once: texts may be long, and the default is 10,000 rows a batch."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -40,7 +47,11 @@ def written(df: DataFrame, label: str, partitions: list[str] | None = None) -> D
 
 
 def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that nothing lazy needs any more."""
+    """Delete the files of a table made by written() that nothing lazy needs any more.
+
+    Then the JVM is asked to collect: only that lets Spark drop the shuffle files of
+    finished jobs, which would otherwise pile up over a loop of batches.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     paths = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
@@ -50,6 +61,8 @@ def remove(df: DataFrame) -> None:
         if "/graphloom-" in name:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def sum_of(array: Column) -> Column:

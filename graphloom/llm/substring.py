@@ -2,7 +2,7 @@
 
 A window is 20 consecutive words.  The index is a set of sorted immutable runs of
 window hashes, one per batch; a new batch is merge-joined with the runs, verified
-by a second independent 64-bit hash, appended as a run, and runs are compacted into
+by a second independent 32-bit hash (96 bits in all), appended as a run, and runs are compacted into
 one when there are more than ``fanout``.  Batches go by ascending doc_id, so that
 what a run holds starts earlier than anything in the batch.
 
@@ -16,8 +16,9 @@ Texts are read twice in place and never shuffled, but for the documents that los
 words (those meet their windows' starts by doc_id).
 
 Defined cases: a null text has no word.  A row that repeats doc_id and words gets
-the same result as its twin.  Rows of one doc_id with different words are ordered
-by the hash of their words.  A null doc_id comes before all others.
+the same result as its twin.  Rows of one doc_id with different words aren't
+compared with each other, as neither has the smaller doc_id.  A null doc_id comes
+before all others.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import remove, small_batches, written
 
 WINDOW, GRAM = 20, 6
 MAP_BITS = 27
@@ -108,6 +109,7 @@ def _summary(docs: DataFrame) -> DataFrame:
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.col("text").cast("string").alias("text"))
 
 
@@ -145,10 +147,15 @@ def _candidate_windows(docs: DataFrame, bitmap: bytes, cuts: list[int]) -> DataF
                 at = np.flatnonzero(_test(bits, anchors))
                 if len(at):
                     key = xxhash.xxh64_intdigest(b" ".join(words), 9) - (1 << 63)
+                    # what the text itself repeats is known here: only first occurrences are indexed
+                    order = np.lexsort((at, h2[at], h1[at]))
+                    a, b = h1[at][order], h2[at][order]
+                    inner = np.zeros(len(at), bool)
+                    inner[order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]] = True
                     same = lambda v, t: pa.array(np.full(len(at), v), t)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), same(doc, pa.int64()), same(key, pa.int64()), pa.array(at.astype(np.int32)), same(int(np.searchsorted(cuts, doc, "left")), pa.int32())], names=["h1", "h2", "id", "key", "start", "batch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), same(doc, pa.int64()), same(key, pa.int64()), pa.array(at.astype(np.int32)), pa.array(inner), same(int(np.searchsorted(cuts, doc, "left")), pa.int32())], names=["h1", "h2", "id", "key", "start", "inner", "batch"])
 
-    return _plain(docs).mapInArrow(run, "h1 long, h2 long, id long, key long, start int, batch int")
+    return _plain(docs).mapInArrow(run, "h1 long, h2 int, id long, key long, start int, inner boolean, batch int")
 
 
 class Index:
@@ -168,17 +175,18 @@ class Index:
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Windows of the batch (h1, h2, id, key, start) that start earlier, in the index or in the batch; then index it."""
-        firsts = batch.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "start")).alias("first"))
+        known = batch.filter("not inner").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         past = self.history()
         if past is None:
-            firsts = firsts.withColumn("old", F.lit(False))
+            known = known.withColumn("old", F.lit(False))
         else:
-            firsts = firsts.join(past.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-        firsts = written(firsts, "lsm-firsts")
-        again = batch.join(firsts, ["h1", "h2"]).filter("old or first <> struct(id, key, start)").select("id", "key", "start")
-        again = written(again, "lsm-again")
-        self.runs.append(written(firsts.filter("not old").select("h1", "h2").repartition("h1").sortWithinPartitions("h1", "h2"), "lsm-run"))
-        remove(firsts)
+            known = known.join(past.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
+        known = written(known, "lsm-known")
+        self.runs.append(written(known.filter("not old").select("h1", "h2").repartition("h1").sortWithinPartitions("h1", "h2"), "lsm-run"))
+        twins = known.filter("old or first < last").select("h1", "h2", F.when(F.col("old"), F.lit(_NULL)).otherwise(F.col("first")).alias("first"), "old")
+        again = batch.filter("not inner").join(twins, ["h1", "h2"]).filter("old or id > first").select("id", "key", "start")
+        again = written(again.union(batch.filter("inner").select("id", "key", "start")), "lsm-again")
+        remove(known)
         if len(self.runs) > self.fanout:
             self.compact()
         return again
@@ -206,7 +214,7 @@ def repeated_windows(docs: DataFrame, batches: int = 4, fanout: int = 2) -> tupl
     marked = written(marked, "lsm-marked")
     # one row for each distinct text, whatever the number of its copies
     texts = rows.filter(F.col("n_words") >= WINDOW).join(first.select("key", F.col("first").alias("id")).distinct(), ["key", "id"], "left_semi")
-    each = texts.select("id", "key", F.explode("anchors").alias("a")).groupBy("a").agg(F.min(F.struct("id", "key")).alias("lo"), F.max(F.struct("id", "key")).alias("hi")).filter("lo <> hi").select("a")
+    each = texts.select(F.explode("anchors").alias("a")).groupBy("a").count().filter("count > 1").select("a")
     hot = each.union(texts.select(F.explode("twice").alias("a")))
     bitmap = _bitmap(hot.select(_position("a").alias("p")))
     low, high = rows.filter(F.col("id") != _NULL).agg(F.min("id"), F.max("id")).first()
@@ -215,7 +223,7 @@ def repeated_windows(docs: DataFrame, batches: int = 4, fanout: int = 2) -> tupl
     found = written(_candidate_windows(docs, bitmap, cuts), "lsm-windows", ["batch"])
     index, again = Index(fanout), None
     for k in range(len(cuts) + 1):
-        part = index.ingest(found.filter(F.col("batch") == k).select("h1", "h2", "id", "key", "start"))
+        part = index.ingest(found.filter(F.col("batch") == k).select("h1", "h2", "id", "key", "start", "inner"))
         again = part if again is None else again.unionByName(part)
     for run in index.runs:
         remove(run)

@@ -107,6 +107,8 @@ class Lowering:
         self.graph, self.params, self.procedures, self.engine = graph, params or {}, procedures or {}, engine
         self.spark, self.serial = graph.spark, 0
         self.pending: dict[str, Column] = {}  # columns that aggregates need by name
+        self.item_types: dict[str, T.DataType] = {}  # of lambda variables
+        self.known_types: dict[tuple, T.DataType | None] = {}
 
     def fresh(self, stem: str) -> str:
         self.serial += 1
@@ -396,13 +398,13 @@ class Lowering:
         right = inner.df.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`") for v in new for c in self.columns_of(inner, v)])
         return Frame(self.back(frame.df, right, keys, "left"), {**frame.scope, **new}, frame.order)
 
-    def matched(self, frame: Frame, patterns, where) -> tuple[list[str], Frame]:
-        names = names_in(list(patterns)) | names_in(where)
+    def matched(self, frame: Frame, patterns, where, body=None) -> tuple[list[str], Frame]:
+        names = names_in(list(patterns)) | names_in(where) | names_in(body)
         keys, base = self.correlated(frame, names)
         for v in names & set(frame.scope):
             if frame.scope[v].kind == "node":
                 base = replace(base, df=base.df.filter(base.column(v, "id").isNotNull()))
-        used = names_in(where) | set(frame.scope)
+        used = names_in(where) | names_in(body) | set(frame.scope)
         return keys, self.where(self.match(base, patterns, used), where)
 
     def where(self, frame: Frame, e) -> Frame:
@@ -437,7 +439,7 @@ class Lowering:
             name = self.fresh("sub")
             if e[0] == "pcomp":
                 pattern, where, body = e[1:]
-                keys, inner = self.matched(frame, [pattern], where)
+                keys, inner = self.matched(frame, [pattern], where, body)
                 inner, body = self.lift(inner, body)
                 value = self.whole_expr(inner, body)
                 order = F.struct(*[inner.column(v, "id") for v, x in inner.scope.items() if x.kind in ("node", "rel") and v not in frame.scope and f"{v}$id" in inner.df.columns] or [F.lit(0)])
@@ -915,12 +917,24 @@ class Lowering:
         except Exception:  # a lambda variable has no type outside its lambda
             return None
 
+    def static_type(self, frame: Frame, e, local) -> T.DataType | None:
+        """Type of an expression; lambda variables stand as nulls of their types.  Null where that isn't known."""
+        if not local:
+            return self.safe_type(frame, self.expr(frame, e))
+        mine = tuple(sorted((n, self.item_types[n].simpleString()) for n in local if n in self.item_types))
+        key = (id(frame.df), repr(e), mine)
+        if key not in self.known_types:
+            nulls = {n: F.lit(None).cast(self.item_types[n]) if n in self.item_types else c for n, c in local.items()}
+            self.known_types[key] = None
+            self.known_types[key] = self.safe_type(frame, self.expr(frame, e, nulls))
+        return self.known_types[key]
+
     def binary(self, frame: Frame, op: str, a: Column, b: Column, e, local) -> Column:
         if op in ("AND", "OR"):
             return a & b if op == "AND" else a | b
         if op == "XOR":
             return a != b
-        ta, tb = self.safe_type(frame, a), self.safe_type(frame, b)
+        ta, tb = (self.static_type(frame, x, local) for x in e[2:4]) if len(e) == 4 and e[0] == "bin" and e[2] and e[3] else (None, None)
         null = isinstance(ta, T.NullType) or isinstance(tb, T.NullType)
         if op in ("=", "<>"):
             if null:
@@ -1024,22 +1038,26 @@ class Lowering:
             _, acc, init, var, source, body = e
             xs, start = self.expr(frame, source, local), self.expr(frame, init, local)
             step = lambda s, x: self.expr(frame, body, {**local, acc: s, var: x})
-            t = self.safe_type(frame, xs)
+            t = self.static_type(frame, source, local)
             item = t.elementType if isinstance(t, T.ArrayType) else None
             if isinstance(item, FLOATS):
                 start = start.cast("double") if is_number(self.type_of(frame, start)) else start
             elif isinstance(item, WHOLE):
                 start = start.cast("bigint") if isinstance(self.type_of(frame, start), WHOLE) else start
             kind = self.safe_type(frame, start)
+            if item is not None and kind is not None:
+                self.item_types |= {var: item, acc: kind}
             return F.aggregate(xs, start, (lambda s, x: step(s, x).cast(kind)) if kind is not None else step)
         if e[0] == "lcomp":
             _, var, source, where, body = e
             xs = self.expr(frame, source, local)
+            self.learn(var, self.static_type(frame, source, local))
             if where is not None:
                 xs = F.filter(xs, lambda x: F.coalesce(self.expr(frame, where, {**local, var: x}), F.lit(False)))
             return xs if body is None else F.transform(xs, lambda x: self.expr(frame, body, {**local, var: x}))
         _, kind, var, source, where = e
         xs = self.expr(frame, source, local)
+        self.learn(var, self.static_type(frame, source, local))
         test = lambda x: self.expr(frame, where, {**local, var: x})
         if kind == "all":
             return F.forall(xs, test)
@@ -1051,6 +1069,11 @@ class Lowering:
         unknown = F.exists(F.transform(xs, test), lambda x: x.isNull())
         return F.when(xs.isNull(), None).when(hits > 1, False).when(F.coalesce(unknown, F.lit(False)), None).otherwise(hits == 1)
 
+    def learn(self, var: str, t: T.DataType | None) -> None:
+        self.item_types.pop(var, None)
+        if isinstance(t, T.ArrayType):
+            self.item_types[var] = t.elementType
+
     def map_projection(self, frame: Frame, e, local) -> Column:
         base, fields = e[1], {}
         found = self.entity(frame, base)
@@ -1121,7 +1144,7 @@ class Lowering:
         if not low <= len(args) <= high:
             raise InvalidFunctionCall(f"{name}() got {len(args)} arguments")
         columns = [self.expr(frame, a, local) for a in args]
-        types = [self.safe_type(frame, c) or T.NullType() for c in columns]
+        types = [self.static_type(frame, a, local) or T.NullType() for a in args]
         return build(columns, types)
 
 

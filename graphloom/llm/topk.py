@@ -11,7 +11,7 @@ only its k first by (score, id) can be among the k first overall.
 
 Queries go in blocks of a bounded number; only a block is broadcast.  Scores are
 exact integers: products go through float64 where no sum can pass 2**53, otherwise
-through 64-bit integers.
+through 64-bit integers (a score beyond these isn't defined).
 
 Defined cases: a vector that is null, empty or holds a null or non-finite component
 takes no part; vectors of different lengths aren't compared; a query isn't matched

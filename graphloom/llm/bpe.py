@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as LibraryTokenizer
 
+from .common import small_batches
+
 OLD = unicodedata.ucd_3_2_0.category
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 def _byte_letters() -> list[str]:
@@ -232,21 +234,25 @@ def load(path: str) -> Tokenizer:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (space-joined), n_tokens, decoded for every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
         for batch in batches:
-            got = [tokenizer.pieces(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([" ".join([p[0] for p in x]) for x in got], pa.string()), pa.array([sum([p[2] for p in x]) for x in got], pa.int64()), pa.array([" ".join([p[1] for p in x]) for x in got], pa.string())],
-                names=["doc_id", "ids", "n_tokens", "decoded"],
-            )
+            n, ids, decoded = [], [], []
+            for text in batch.column(1):
+                got = tokenizer.pieces(text.as_py() or "")
+                n.append(sum([p[2] for p in got]))
+                ids.append(" ".join([p[0] for p in got]))
+                decoded.append(" ".join([p[1] for p in got]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids string, n_tokens long, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: hashed where the ids are made, so that they are never sent on."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)

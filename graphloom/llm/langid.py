@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .samples import SAMPLE_ROWS, sample_ids, with_texts
 
 BUCKETS = 1 << 15
@@ -109,6 +109,7 @@ def fit(docs: DataFrame, where=None, bound: int = SAMPLE_ROWS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, mixture (lang:proportion, ...) of every row; reads doc_id and text only."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

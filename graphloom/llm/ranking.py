@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, small_batches
 from .samples import SAMPLE_ROWS, labelled, sample_ids, with_texts
 
 PAIRS = 100_000
@@ -48,6 +48,8 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def _featured(docs: DataFrame, extra: list[str]) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = [features(t.as_buffer().to_pybytes() if t.is_valid else None).tolist() for t in batch.column(0).cast(pa.binary())]

@@ -18,9 +18,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ranking.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Five-word shingles; candidates differ in at most 8 of 64 bits and share 0.8 of their shingles.
+NEAR = {"width": 5, "radius": 8, "segments": 3, "least": 0.8}
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, **NEAR)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@ own value.  For distance 1 only 0 -> 1 flips are looked up: of two values one bi
 apart, one has the 0.  Candidates are verified over all 64 bits.  Copies share a
 fingerprint and never meet as pairs; a hot fingerprint is one row here.
 
+With a radius of 6 to 8 and three segments, the balls have two bits; then either side
+looks up what is one bit away and they meet half-way.  ``least`` keeps only links
+whose texts share that part of their shingles.
+
 Three segments suit up to some 10^9 distinct fingerprints; use two beyond that
 (ball of radius 2, fewer candidates for each look-up).
 
@@ -32,9 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import let, written
+from .common import let, small_batches, written
 
 CHUNK = 1 << 16
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
@@ -61,6 +66,7 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (long) for every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,36 +85,75 @@ def _cuts(segments: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """Pairs a < b (signed order) of distinct fingerprints at most ``radius`` bits apart.  fps: distinct, column fp."""
     reach = radius // segments
+    # a ball of two bits is met half-way: each side looks up what is one bit away
+    own, far = (reach // 2, reach - reach // 2) if reach > 1 else (0, reach)
     index, probe = [], []
     for n, (shift, width) in enumerate(_cuts(segments)):
         mask = (1 << width) - 1
         value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask))
-        index.append(F.struct(F.lit(n).alias("seg"), value.alias("val")))
-        flips = [sum(1 << b for b in bits) for r in range(1, reach + 1) for bits in combinations(range(width), r)]
-        ball = F.array(*[F.lit(x) for x in [0, *flips]]).cast("array<bigint>")
-        # an odd number of flips is looked up from one side only: the one with fewer set bits
-        probe.append(let(value, _probes(ball, n)))
-    table = fps.select(F.col("fp").alias("b"), F.inline(F.array(*index)))
+        index.append(let(value, _around(_ball(width, own), n, False)))
+        probe.append(let(value, _around(_ball(width, far), n, reach == 1)))
+    table = fps.select(F.col("fp").alias("b"), F.inline(F.flatten(F.array(*index))))
     wanted = fps.select(F.col("fp").alias("a"), F.inline(F.flatten(F.array(*probe))))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = wanted.join(table, ["seg", "val"]).filter(near & (F.col("a") != F.col("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _probes(ball: Column, n: int):
+def _ball(width: int, reach: int) -> Column:
+    flips = [sum(1 << b for b in bits) for r in range(reach + 1) for bits in combinations(range(width), r)]
+    return F.array(*map(F.lit, flips)).cast("array<bigint>")
+
+
+def _around(ball: Column, n: int, upwards: bool):
+    """Structs (segment, value) of the ball around a value; upwards: of two values one bit apart only the one with the 0 looks up."""
+
     def body(v: Column) -> Column:
         moved = F.transform(ball, lambda x: v.bitwiseXOR(x))
-        fit = F.filter(moved, lambda m: (F.bit_count(m) > F.bit_count(v)) | ((F.bit_count(m) == F.bit_count(v)) & (m >= v)))
-        return F.transform(fit, lambda m: F.struct(F.lit(n).alias("seg"), m.alias("val")))
+        if upwards:
+            moved = F.filter(moved, lambda m: m >= v)
+        return F.transform(moved, lambda m: F.struct(F.lit(n).alias("seg"), m.alias("val")))
 
     return body
 
 
-def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs."""
+def shingles(text: bytes | None, width: int) -> list[int]:
+    """Distinct hashes of the word shingles of a text, lower-cased."""
+    words = (text or b"").lower().split()
+    lines = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    return sorted({xxhash.xxh64_intdigest(x, 7) - (1 << 63) for x in lines})
+
+
+def verified(docs: DataFrame, reps: DataFrame, near: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts share ``least`` of their shingles (Jaccard).
+
+    Only texts on a pair are read into sets.  Their ids are broadcast up to
+    BROADCAST_IDS, beyond that joined by shuffle.
+    """
+    small_batches(docs.sparkSession)
+    ids = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select(F.col("rep").alias("id")).distinct()
+    ids = written(ids, "simhash-ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(t, width) for t in raw], pa.int64()), pa.array([shingles(t, width) for t in raw], pa.list_(pa.int64()))], names=["fp", "set"])
+
+    sets = written(texts.select("text").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"]), "simhash-sets")
+    both = near.join(sets.withColumnsRenamed({"fp": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"fp": "b", "set": "sb"}), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4, least: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row of docs; least: links need that Jaccard similarity too."""
     rows = written(fingerprints(docs, width), "simhash-rows")
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     near = written(links(reps.select("fp"), radius, segments), "simhash-links")
+    if least is not None:
+        near = written(verified(docs, reps, near, width, least), "simhash-verified")
     # Classes are worked out between fingerprints; the label is the least representative of the class.
     classes = connected_components(near, "a", "b", lambda df: written(df, "simhash-classes"))
     joined = reps.join(classes.withColumnsRenamed({"node": "fp"}), "fp", "left")

@@ -6,14 +6,26 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from graphloom.llm import mixing, queries, ranking
+from graphloom.llm import mixing, queries, ranking, simhash
 
 from .test_pii import brute as spans
-from .test_simhash import brute as groups
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_groups(docs):
+    """The least id of each class: exact copies by fingerprint, near ones by bits and Jaccard over all pairs."""
+    near = corpus_pipeline.NEAR
+    fps = [simhash.fingerprint(t.encode(), near["width"]) for _, t in docs]
+    sets = [set(simhash.shingles(t.encode(), near["width"])) for _, t in docs]
+    label = [d for d, _ in docs]
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if fps[i] == fps[j] or (((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= near["radius"] and len(sets[i] & sets[j]) >= near["least"] * len(sets[i] | sets[j]))]
+    for _ in docs:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return sorted(set(label))
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -22,7 +34,7 @@ def test_stages(spark):
     want = {r.doc_id for r in ranking.classify(docs, labels).filter("predicted = 1").collect()}
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == want
     one = corpus_pipeline.near_dedup(spark, good, SF).cache()
-    assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, _, c in groups([(r.doc_id, r.text) for r in good.collect()])})
+    assert sorted(r.doc_id for r in one.collect()) == brute_groups([(r.doc_id, r.text) for r in good.collect()])
     clean = corpus_pipeline.redact_pii(spark, one, SF).cache()
     assert clean.columns == docs.columns and clean.count() == one.count()
     for r in clean.collect():

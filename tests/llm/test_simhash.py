@@ -61,6 +61,8 @@ def test_links_against_all_pairs(spark):
             fps.append(g - (1 << 64) if g >= 1 << 63 else g + (1 << 64) if g < -(1 << 63) else g)
     fps = list(set(fps))
     want = {(min(a, b), max(a, b)) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    wide = {(min(a, b), max(a, b)) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 8}
+    assert {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius=8).collect()} == wide
     for segments in (2, 3):
         got = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), segments=segments).collect()}
         assert got == want

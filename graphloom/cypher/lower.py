@@ -378,7 +378,9 @@ class Lowering:
         """Join on keys, nulls equal; right's keys are renamed and dropped."""
         new = {k: f"{k}$$" for k in keys}
         right = right.withColumnsRenamed(new)
-        on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in new.items()] or [F.lit(True)]
+        # an id on the inner side is never null: plain equality, which also prunes nulls
+        same = lambda k, n: F.col(f"`{k}`") == F.col(f"`{n}`") if k.endswith("$id") and how in ("left_semi", "left_anti") else F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`"))
+        on = [same(k, n) for k, n in new.items()] or [F.lit(True)]
         out = left.join(right, reduce(lambda a, b: a & b, on), how)
         return out if how in ("left_semi", "left_anti") else out.drop(*new.values())
 
@@ -398,7 +400,33 @@ class Lowering:
         right = inner.df.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`") for v in new for c in self.columns_of(inner, v)])
         return Frame(self.back(frame.df, right, keys, "left"), {**frame.scope, **new}, frame.order)
 
+    def beside(self, frame: Frame, patterns: list[PathPattern], where, used: set[str]) -> tuple[list[str], Frame] | None:
+        """One hop from a bound node to one that needs no table, with no other outer variable: the edges alone answer.
+
+        Then the bindings' distinct values needn't be worked out and joined first.
+        """
+        p = patterns[0]
+        if len(patterns) != 1 or p.mode or p.var or len(p.rels) != 1 or p.rels[0].hops is not None:
+            return None
+        bound = [i for i, n in enumerate(p.nodes) if n.var and n.var in frame.scope]
+        if len(bound) != 1:
+            return None
+        anchor, other, r = p.nodes[bound[0]], p.nodes[1 - bound[0]], p.rels[0]
+        mine = frame.scope[anchor.var]
+        direction = r.direction if bound[0] == 0 else {"out": "in", "in": "out", "both": "both"}[r.direction]
+        outer = (names_in(where) | names_in(r.props)) & set(frame.scope)
+        if mine.kind != "node" or anchor.labels or anchor.props or outer or other.props or (other.var and other.var in used) or (r.var and r.var in frame.scope) or not self.implied(r, direction, other.labels):
+            return None
+        var = r.var or self.fresh("r")
+        e = self.edges(r, var, direction, mine, other.labels)
+        columns = {f"{anchor.var}$id": F.col(f"`{var}$from`")} | ({f"{other.var}$id": F.col(f"`{var}$to`")} if other.var else {})
+        scope = {anchor.var: Var("node", {}, mine.label), var: Var("rel", self.graph.edge_types(r.types))} | ({other.var: Var("node", {})} if other.var else {})
+        return [f"{anchor.var}$id"], self.where(self.props_filter(Frame(e.withColumns(columns), scope), var, r.props), where)
+
     def matched(self, frame: Frame, patterns, where, body=None) -> tuple[list[str], Frame]:
+        found = self.beside(frame, patterns, where, names_in(where) | names_in(body)) if body is None else None
+        if found:
+            return found
         names = names_in(list(patterns)) | names_in(where) | names_in(body)
         keys, base = self.correlated(frame, names)
         for v in names & set(frame.scope):
@@ -423,7 +451,7 @@ class Lowering:
             if negated:
                 for v in anchors:
                     df = df.filter(frame.column(v, "id").isNotNull())
-            right = inner.df.select(*[F.col(f"`{k}`") for k in keys]).distinct() if keys else inner.df.limit(1)
+            right = inner.df.select(*[F.col(f"`{k}`") for k in keys]) if keys else inner.df.limit(1)
             return replace(frame, df=self.back(df, right, keys, "left_anti" if negated else "left_semi"))
         frame, e = self.lift(frame, e)
         t = self.type_of(frame, self.expr(frame, e))

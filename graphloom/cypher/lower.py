@@ -106,6 +106,7 @@ class Lowering:
     def __init__(self, graph: Graph, params: dict | None = None, procedures: dict | None = None, engine=None):
         self.graph, self.params, self.procedures, self.engine = graph, params or {}, procedures or {}, engine
         self.spark, self.serial = graph.spark, 0
+        self.version = engine.version if engine is not None else 0
         self.pending: dict[str, Column] = {}  # columns that aggregates need by name
         self.item_types: dict[str, T.DataType] = {}  # of lambda variables
         self.known_types: dict[tuple, T.DataType | None] = {}
@@ -529,6 +530,7 @@ class Lowering:
         if not outer:
             values = [self.constant(a) for a in args]
             df, kinds = procedure(self.engine, *values)
+            self.refresh()
             got = self.yielded(df, kinds, yields, frame.scope)
             joined = Frame(frame.df.crossJoin(got.df) if frame.df.columns else got.df, {**frame.scope, **got.scope}, frame.order)
             return self.where(joined, where)
@@ -549,11 +551,17 @@ class Lowering:
             probe, kinds = procedure(self.engine, *[self.constant(a) if not names_in(a) else 0 for a in args])
             out = probe.limit(0).select("*", *[F.lit(None).cast(types[k].dataType).alias(f"__a{k}") for k, a in enumerate(args) if names_in(a)])
         keys = [k for k, a in enumerate(args) if names_in(a)]
+        self.refresh()
         got = self.yielded(out, kinds, yields, frame.scope, [f"__a{k}" for k in keys])
         left = frame.df.withColumns({f"__l{k}": self.argument(frame, args[k]) for k in keys})
         df = left.join(got.df, reduce(lambda a, b: a & b, [F.col(f"__l{k}") == F.col(f"__a{k}") for k in keys])).drop(*[f"__l{k}" for k in keys], *[f"__a{k}" for k in keys])
         return self.where(Frame(df, {**frame.scope, **got.scope}, frame.order), where)
 
+    def refresh(self) -> None:
+        """A procedure may have published a new graph: what it yields is looked up there."""
+        if self.engine is not None and self.engine.version != self.version:
+            self.graph, self.version = self.engine.graph, self.engine.version
+
     def argument(self, frame: Frame, e) -> Column:
         if e[0] == "var" and frame.scope.get(e[1], Var("value")).kind in ("node", "rel"):
             return frame.column(e[1], "id")

@@ -30,11 +30,13 @@ class Engine:
         self.names: dict[str, tuple] = {}
         self.triggers: dict[str, Callable] = {}
         self.sequences: dict[str, int] = {}
+        self.version = 0
 
     def publish(self, graph: Graph) -> None:
         for trigger in self.triggers.values():
             trigger(*graph.frames())
         self.graph = graph
+        self.version += 1
 
     def cypher(self, text: str, params: dict | None = None) -> DataFrame:
         """Run a statement and return its rows."""

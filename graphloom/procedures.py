@@ -240,7 +240,141 @@ def _sequence(engine, name):
     return engine.spark.createDataFrame([(engine.sequence_next(name),)], "value long"), {}
 
 
+# Agent memory: messages are (:Message)-[:NEXT]-> chains, entities (:Entity), facts RELATED_TO relationships.
+POLE = ("PERSON", "OBJECT", "LOCATION", "EVENT", "ORGANIZATION")
+
+
+def _now(engine) -> str:
+    return engine.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).first()[0]
+
+
+def _column(df: DataFrame, name: str):
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
+
+def _one(engine, id, column="node"):
+    return engine.spark.createDataFrame([(id,)] if id is not None else [], f"{column} long"), {column: "node" if column == "node" else "rel"}
+
+
+def _last_message(engine, session):
+    rows = engine.cypher("MATCH (m:Message {session: $s}) RETURN id(m) AS id, m.seq AS seq ORDER BY m.seq DESC LIMIT 1", {"s": session}).collect()
+    return (rows[0]["id"], rows[0]["seq"]) if rows else (None, 0)
+
+
+def _add_message(engine, session, role, text):
+    before, seq = _last_message(engine, session)
+    made = engine.cypher("CREATE (m:Message {session: $s, seq: $q, role: $r, text: $t, body: $t, created_at: $n}) RETURN id(m) AS id", {"s": session, "q": int(seq) + 1, "r": role, "t": text, "n": _now(engine)}).first()["id"]
+    if before is not None:
+        engine.cypher("MATCH (a) WHERE id(a) = $a MATCH (b) WHERE id(b) = $b CREATE (a)-[:NEXT]->(b)", {"a": before, "b": made})
+    return _one(engine, made)
+
+
+def _record(engine, session, step, tool, outcome):
+    last, _ = _last_message(engine, session)
+    made = engine.cypher("CREATE (t:ReasoningTrace {session: $s, step: $p, tool: $t, outcome: $o, created_at: $n}) RETURN id(t) AS id", {"s": session, "p": step, "t": tool, "o": outcome, "n": _now(engine)}).first()["id"]
+    if last is not None:
+        engine.cypher("MATCH (a) WHERE id(a) = $a MATCH (b) WHERE id(b) = $b CREATE (a)-[:INITIATED_BY]->(b)", {"a": made, "b": last})
+    return _one(engine, made)
+
+
+def _messages(engine, session):
+    nodes = _frames(engine)[0]
+    if "session" not in nodes.columns:
+        return nodes.limit(0).select("id", F.lit("").alias("text"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("array<double>").alias("embedding"))
+    own = nodes.filter(F.array_contains("labels", "Message") & (F.col("session") == session))
+    return own.select("id", "text", "seq", F.col("embedding") if "embedding" in nodes.columns else F.lit(None).cast("array<double>").alias("embedding"))
+
+
+def _conversation(engine, session, limit):
+    return _messages(engine, session).orderBy(F.desc("seq")).limit(limit).orderBy("seq").select(F.col("id").alias("node")), NODE
+
+
+def _remember(engine, session, name, kind, description):
+    if str(kind).upper() not in POLE:
+        raise InvalidFunctionCall(f"type is one of {POLE}")
+    kind = kind.upper()
+    known = engine.cypher("MATCH (e:Entity {name: $n, type: $t}) RETURN id(e) AS id", {"n": name, "t": kind}).collect()
+    if known:
+        id = known[0]["id"]
+        if description is not None:
+            engine.cypher("MATCH (e) WHERE id(e) = $i SET e.description = $d", {"i": id, "d": description})
+    else:
+        id = engine.cypher(f"CREATE (e:Entity:{kind.title()} {{name: $n, type: $t, description: $d, created_at: $c}}) RETURN id(e) AS id", {"n": name, "t": kind, "d": description, "c": _now(engine)}).first()["id"]
+    last = _last_message(engine, session)[0] if session is not None else None
+    if last is not None:
+        engine.cypher("MATCH (m) WHERE id(m) = $a MATCH (e) WHERE id(e) = $b MERGE (m)-[:MENTIONS]->(e)", {"a": last, "b": id})
+    return _one(engine, id)
+
+
+def _current(engine) -> DataFrame:
+    """Facts with the names of their ends."""
+    nodes, edges = _frames(engine)
+    facts = edges.filter(F.col("type") == "RELATED_TO")
+    cols = {c: _column(edges, c) for c in ("relation", "valid_from", "valid_until", "source_id", "quote")}
+    names = nodes.select("id", _column(nodes, "name").alias("name"))
+    facts = facts.select("id", "src", "dst", *[c.alias(n) for n, c in cols.items()])
+    return facts.join(names.withColumnsRenamed({"id": "src", "name": "subject"}), "src").join(names.withColumnsRenamed({"id": "dst", "name": "object"}), "dst")
+
+
+def _close(engine, ids: list[int]) -> None:
+    if ids:
+        engine.cypher("MATCH ()-[r:RELATED_TO]->() WHERE id(r) IN $ids SET r.valid_until = $n", {"ids": ids, "n": _now(engine)})
+
+
+def _assert_fact(engine, subject, relation, object, exclusive):
+    open_ = [r.asDict() for r in _current(engine).filter((F.col("subject") == subject) & (F.col("relation") == relation) & F.col("valid_until").isNull()).collect()]
+    same = [r["id"] for r in open_ if r["object"] == object]
+    if exclusive:
+        _close(engine, [r["id"] for r in open_ if r["object"] != object])
+    if same:
+        return _one(engine, same[0], "rel")
+    made = engine.cypher("MATCH (a:Entity {name: $s}) MATCH (b:Entity {name: $o}) WITH a, b LIMIT 1 CREATE (a)-[r:RELATED_TO {relation: $r, valid_from: $n, created_at: $n}]->(b) RETURN id(r) AS id", {"s": subject, "o": object, "r": relation, "n": _now(engine)}).collect()
+    if not made:
+        raise InvalidFunctionCall("both ends of a fact are remembered first")
+    return _one(engine, made[0]["id"], "rel")
+
+
+def _retract_fact(engine, subject, relation, object):
+    ids = [r["id"] for r in _current(engine).filter((F.col("subject") == subject) & (F.col("relation") == relation) & (F.col("object") == object) & F.col("valid_until").isNull()).collect()]
+    _close(engine, ids)
+    return _one(engine, ids[0] if ids else None, "rel")
+
+
+def _facts_at(engine, name, at):
+    from .operators.memory import facts_at
+
+    held = facts_at(_current(engine), name, at)
+    return held.select("subject", "relation", "object", "valid_from", "valid_until", F.col("source_id").alias("source"), "quote"), {}
+
+
+def _reindex(engine, label, prop, target):
+    """Embeddings of a text property: the engine's embedder in Arrow batches, or hashed words without one."""
+    from .catalog import Graph
+    from .operators.iterate import materialize
+
+    nodes, edges = _frames(engine)
+    if engine.embedder is None:
+        value = search.hash_embed(F.col(prop)).cast("array<double>")
+    else:
+        import pandas as pd
+
+        embed = engine.embedder
+        value = F.pandas_udf(lambda s: pd.Series([None if t is None else list(map(float, embed(t))) for t in s]), "array<double>")(F.col(prop))
+    hit = F.array_contains("labels", label) & F.col(prop).isNotNull()
+    old = F.col(target).cast("array<double>") if target in nodes.columns else F.lit(None).cast("array<double>")
+    new = materialize(nodes.withColumn(target, F.when(hit, value).otherwise(old)))
+    n = new.filter(hit).count()
+    engine.publish(Graph.from_frames(new, edges))
+    return engine.spark.createDataFrame([(label, n)], "label string, embedded long"), {}
+
+
 PROCEDURES = {
+    "memory.addmessage": _add_message, "memory.recordreasoning": _record, "memory.getconversation": _conversation,
+    "memory.recall": lambda e, s, q, k: (search.fts(_messages(e, s), q, k), NODE),
+    "memory.recallvector": lambda e, s, v, k: (search.vector_query(_messages(e, s).select("id", F.col("embedding").alias("v")), v, k), NODE),
+    "memory.recallsemantic": lambda e, s, q, k: (search.vector_query(_messages(e, s).select("id", F.col("embedding").alias("v")), _embed(e, q), k), NODE),
+    "memory.rememberentity": _remember, "memory.assertfact": _assert_fact, "memory.retractfact": _retract_fact, "memory.factsat": _facts_at,
+    "semantic.reindex": _reindex,
     "pagerank": _pagerank, "pagerank.personalized": _personalized,
     "wcc": _simple(groups.wcc), "scc": _simple(groups.scc), "louvain": _simple(groups.louvain), "triangles": _simple(centrality.triangles),
     "closeness": lambda e: (centrality.closeness(*_frames(e)).orderBy(F.desc("score"), "node"), NODE),

@@ -253,3 +253,26 @@ def test_writes(spark):
     e.cypher("MATCH (c:Port) FOREACH (x IN [1, 2] | CREATE (c)-[:HAS]->(:Item {k: x}))")
     assert one("MATCH (:Port)-[:HAS]->(i:Item) RETURN sum(i.k)") == 3
     assert e.cypher("CREATE (n:Z {v: 5}) RETURN n.v AS v").first()[0] == 5
+
+
+def test_memory_procedures(spark):
+    e = Engine(plain(spark, [(0, 1)]), embedder=lambda t: [float(len(t)), 1.0])
+    e.cypher("CALL ns.memory.addMessage('s', 'user', 'the deploy port is 7688') YIELD node RETURN node.seq")
+    assert e.cypher("CALL ns.memory.addMessage('s', 'bot', 'noted') YIELD node RETURN node.seq AS q, node.text AS t").collect() == [(2, "noted")]
+    assert [r[0] for r in e.cypher("CALL memory.getConversation('s', 5) YIELD node RETURN node.text AS t ORDER BY node.seq").collect()] == ["the deploy port is 7688", "noted"]
+    assert e.cypher("CALL memory.recall('s', 'deploy', 3) YIELD node, score RETURN node.seq AS q").first()[0] == 1
+    assert e.cypher("MATCH (:Message)-[:NEXT]->(m) RETURN m.text AS t").first()[0] == "noted"
+    for n, t in (("Dana", "person"), ("Acme", "organization"), ("Globex", "organization")):
+        e.cypher(f"CALL memory.rememberEntity(null, '{n}', '{t}', null) YIELD node RETURN node.name")
+    e.cypher("CALL memory.assertFact('Dana', 'WORKS_AT', 'Acme', true) YIELD rel RETURN rel.relation")
+    e.cypher("CALL memory.assertFact('Dana', 'WORKS_AT', 'Globex', true) YIELD rel RETURN rel.relation")
+    assert [(r.object, r.valid_until) for r in e.cypher("CALL memory.factsAt('Dana', null) YIELD object, valid_until RETURN object, valid_until").collect()] == [("Globex", None)]
+    assert e.cypher("CALL semantic.reindex('Message', 'text', 'embedding') YIELD embedded RETURN embedded").first()[0] == 2
+    assert e.cypher("CALL memory.recallSemantic('s', 'noted', 1) YIELD node RETURN node.seq AS q").first()[0] == 2
+
+
+def test_arrow_batches(spark):
+    from graphloom.sources.arrow import record_batches
+
+    got = list(record_batches(spark.range(20_000)))
+    assert [b.num_rows for b in got] == [8192, 8192, 3616]

@@ -150,9 +150,9 @@ class Graph:
     def edge_types(self, types: list[str]) -> dict[str, T.DataType]:
         return _merge_types(self.edge_tables(types))
 
-    def node_scan(self, expr: tuple | None = None, rename: Callable[[str], str] = lambda c: c) -> DataFrame:
-        """Columns id, labels and one for each property (``p:`` before its name), renamed."""
-        kinds, out = self.node_types(expr), []
+    def node_scan(self, expr: tuple | None = None, rename: Callable[[str], str] = lambda c: c, props: bool = True) -> DataFrame:
+        """Columns id, labels and (unless told not to) one for each property (``p:`` before its name), renamed."""
+        kinds, out = self.node_types(expr) if props else {}, []
         for t in self.labels_of(expr):
             df = t.df
             if t.labels is None:

@@ -147,7 +147,9 @@ class Lowering:
             return self.project(frame, clause)
         kind = clause[0]
         if kind == "match":
-            used = names_in(list(later)) | names_in(clause[3]) | {"*"} if any(isinstance(c, Projection) and c.star for c in later) else names_in(list(later)) | names_in(clause[3])
+            used = names_in(list(later)) | names_in(clause[3])
+            if any(isinstance(c, Projection) and c.star for c in later):
+                used |= names_in(clause[2])
             return self.optional(frame, clause[2], clause[3], used) if clause[1] else self.where(self.match(frame, clause[2], used), clause[3])
         if kind == "unwind":
             return self.unwind(frame, clause[1], clause[2])
@@ -166,14 +168,14 @@ class Lowering:
             frame = self.path(frame, pattern, used | {v for v, n in counts.items() if n > 1}, taken)
         return frame
 
-    def node_columns(self, var: str, expr) -> tuple[DataFrame, Var]:
+    def node_columns(self, var: str, expr, props: bool = True) -> tuple[DataFrame, Var]:
         tables = self.graph.labels_of(expr)
         label = tables[0].labels[0] if len(tables) == 1 and tables[0].labels and len(tables[0].labels) == 1 else None
-        return self.graph.node_scan(expr, lambda c: f"{var}${c}"), Var("node", self.graph.node_types(expr), label)
+        return self.graph.node_scan(expr, lambda c: f"{var}${c}", props), Var("node", self.graph.node_types(expr) if props else {}, label)
 
     def bind_node(self, frame: Frame, var: str, p: NodePattern, at: Column | None = None, need: bool = True) -> Frame:
         """Bind var by a scan, joined on id = at where at is given."""
-        scan, v = self.node_columns(var, p.labels)
+        scan, v = self.node_columns(var, p.labels, need or p.props is not None)
         if at is None:
             if frame.scope or frame.df.columns:
                 df = frame.df.crossJoin(scan)
@@ -209,7 +211,7 @@ class Lowering:
         start = next((i for i, n in enumerate(names) if n in frame.scope), None)
         if start is None:
             start = self.anchor(nodes)
-            frame = self.bind_node(frame, names[start], nodes[start])
+            frame = self.bind_node(frame, names[start], nodes[start], need=names[start] in used)
         else:
             frame = self.recheck(frame, names[start], nodes[start])
         steps = [(i, i + 1, i, False) for i in range(start, len(rels))] + [(i + 1, i, i, True) for i in range(start - 1, -1, -1)]
@@ -264,7 +266,7 @@ class Lowering:
             # only passed through, and sure to exist with these labels: its table isn't read
             out = Frame(out.df.withColumn(f"{b}$id", to), {**out.scope, b: Var("node", {}, p.labels[1] if p.labels and p.labels[0] == "label" else None)}, out.order)
         else:
-            out = self.bind_node(out, b, p, to)
+            out = self.bind_node(out, b, p, to, b in used)
         for other, types in taken:
             if not types or not r.types or set(types) & set(r.types):
                 out = replace(out, df=out.df.filter(out.column(other, "id") != out.column(var, "id")))

@@ -8,9 +8,26 @@ from pyspark.sql import functions as F
 from ..catalog import Graph
 
 
+_KNOWN: dict[tuple[str, str], Graph] = {}
+
+
 def star(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph over a folder of tables; its declaration (schemas, no data) is kept for the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KNOWN:
+        _KNOWN[key] = _declare(spark, sf_dir)
+    return _KNOWN[key]
+
+
+def _declare(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, parts, orders, users, events, documents, vectors and turns with their relationships."""
-    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read: dict = {}
+
+    def t(name: str):
+        if name not in read:
+            read[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return read[name]
+
     g = Graph(spark)
     g.add_nodes("Region", t("region"), "r_regionkey", {"key": "r_regionkey", "name": "r_name"})
     g.add_nodes("Nation", t("nation"), "n_nationkey", {"key": "n_nationkey", "name": "n_name", "region": "n_regionkey"})

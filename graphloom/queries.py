@@ -39,9 +39,9 @@ CYPHER: dict[str, tuple[str, str]] = {
     "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.total > 200000 RETURN c.key AS key, count(o) AS big", "SELECT c_custkey AS key, count(o_orderkey) AS big FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1"),
     "variable_length": ("MATCH (a:Turn)-[r:NEXT*1..3]->(b:Turn) RETURN a.conv AS conv, size(r) AS hops, count(*) AS n", "WITH RECURSIVE w AS (SELECT conv_id, turn AS a, turn AS b, 0 AS h FROM conversations UNION ALL SELECT w.conv_id, a, c.turn, h + 1 FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = b + 1 WHERE h < 3) SELECT conv_id AS conv, h::BIGINT AS hops, count(*) AS n FROM w WHERE h > 0 GROUP BY ALL"),
     "named_path": ("MATCH p = (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r:Region) RETURN r.name AS region, length(p) AS hops, size(nodes(p)) AS visited, count(*) AS n", "SELECT r_name AS region, 2::BIGINT AS hops, 3::BIGINT AS visited, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
-    "shortest_path": ("MATCH (a:Nation {name: 'FRANCE'}), (b:Nation) WHERE a.key <> b.key MATCH p = shortestPath((a)-[:IN_REGION*..2]-(b)) RETURN b.name AS nation, length(p) AS hops", "SELECT b.n_name AS nation, 2::BIGINT AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_name = 'FRANCE'"),
+    "shortest_path": ("MATCH (a:Nation {name: 'NATION_3'}), (b:Nation) WHERE a.key <> b.key MATCH p = shortestPath((a)-[:IN_REGION*..2]-(b)) RETURN b.name AS nation, length(p) AS hops", "SELECT b.n_name AS nation, 2::BIGINT AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_name = 'NATION_3'"),
     "pattern_predicate": ("MATCH (c:Customer) WHERE (c)-[:PLACED]->() RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
-    "anti_pattern": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->() RETURN c.key AS key", "SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
+    "anti_pattern": ("MATCH (t:Turn) WHERE NOT (t)-[:NEXT]->() RETURN t.conv AS conv, t.turn AS turn", "SELECT conv_id AS conv, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)"),
     "exists_subquery": ("MATCH (c:Customer) WHERE EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.total > c.balance * 50 } RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)"),
     "count_subquery": ("MATCH (n:Nation) RETURN n.name AS nation, COUNT { (n)<-[:IN_NATION]-(:Customer) } AS customers", "SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation"),
     "pattern_comprehension": ("MATCH (r:Region) RETURN r.name AS region, reduce(s = '', x IN [(r)<-[:IN_REGION]-(n) | n.name] | s + x + ';') AS nations", "SELECT r_name AS region, (SELECT string_agg(n_name || ';', '' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS nations FROM region"),
@@ -72,7 +72,7 @@ def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A graph of suppliers (negative) and parts of one brand, for algorithms: nodes id, edges src, dst, weight."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_brand = 'Brand#2'").select("p_partkey")
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    edges = line.select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    edges = line.select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     edges = edges.select(F.xxhash64("src", "dst").alias("id"), "src", "dst", F.lit("S").alias("type"), F.lit(1.0).alias("weight"))
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return nodes.withColumn("labels", F.array(F.lit("N"))), edges
@@ -137,7 +137,7 @@ def _points(spark, sf_dir):
 
 def _fuzzy(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("value"))
-    return search.fuzzy(n, "IRAM", 2)
+    return search.fuzzy(n, "NATION_21", 1)
 
 
 def _hybrid(spark, sf_dir):
@@ -150,14 +150,14 @@ BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pagerank_personalized": lambda s, d: (lambda n, e: _rounded(centrality.pagerank(n, e, iterations=4, tolerance=0.0, seeds=s.createDataFrame([(3, 1.0)], "id long, weight double"))))(*_nations(s, d)),
     "wcc": _graph(groups.wcc, _trade), "scc": _graph(groups.scc), "triangles": _graph(centrality.triangles), "closeness": _graph(centrality.closeness), "betweenness": _graph(centrality.betweenness),
     "louvain": _graph(groups.louvain), "ricci_curvature": _graph(lambda n, e: groups.ricci(e)),
-    "bfs": lambda s, d: traverse.bfs(_nations(s, d)[1], [3], 3), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_nations(s, d)[1], 3, 10),
+    "bfs": lambda s, d: traverse.bfs(_nations(s, d)[1], [3], 3), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_nations(s, d)[1], 3, 21),
     "graph_expand": lambda s, d: traverse.expand(*_nations(s, d), [3], 2).select("node", "distance"),
     "spatial_nearest": _points, "fts_bm25": lambda s, d: _rounded(search.fts(_docs(s, d), "license", 20)), "text_fuzzy": _fuzzy,
     "vector_query": lambda s, d: (lambda v, q: _rounded(search.vector_query(v, q, 10)))(*_vectors(s, d)), "hybrid_search": _hybrid,
     "keywords": lambda s, d: _rounded(search.keywords(_docs(s, d), 3), 4).select("id", "rank", "term", "score"),
     "entity_candidates": lambda s, d: _rounded(entities.candidates(_people(s, d).filter("id < 400"), threshold=0.97), 6).select("a", "b", "score"),
     "memory_facts": _facts, "memory_next": lambda s, d: memory.next_edges(_turns(s, d)),
-    "rag_retrieve": lambda s, d: _rounded(rag.retrieve(*_nations(s, d), "FRANCE", k=2)[0]).select("node", "distance", "rank"),
+    "rag_retrieve": lambda s, d: _rounded(rag.retrieve(*_nations(s, d), "NATION_3", k=2)[0]).select("node", "distance", "rank"),
     "extract_chunks": lambda s, d: rag.chunks(_docs(s, d)).select("id", "position", "offset", "length"),
 }
 
@@ -166,11 +166,11 @@ BUILT_SQL: dict[str, str] = {
     "triangles": NATIONS_SQL + ", u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), k AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (a, b, c)) AS t, (SELECT count(*) FROM u WHERE id IN (a, b)) AS d FROM n) SELECT id AS node, t AS triangles, round(CASE WHEN d >= 2 THEN 2.0::DOUBLE * t / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM k",
     "closeness": NATIONS_SQL + ", w AS (SELECT id AS s, id AS node, 0 AS d FROM n UNION SELECT s, dst, d + 1 FROM w JOIN e ON src = node AND src <> dst WHERE d < 12), m AS (SELECT s, node, min(d) AS d FROM w GROUP BY ALL) SELECT s AS node, round(coalesce(sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d END), 0), 6) AS score FROM m GROUP BY s",
     "scc": NATIONS_SQL + ", w AS (SELECT id AS s, id AS node FROM n UNION SELECT s, dst FROM w JOIN e ON src = node), r AS (SELECT x.s AS node, min(x.node) AS root FROM w x JOIN w y ON x.s = y.node AND x.node = y.s GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM r",
-    "wcc": "WITH RECURSIVE e AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#2'), s AS (SELECT DISTINCT a.src AS x, b.src AS y FROM e a JOIN e b ON a.dst = b.dst), w AS (SELECT src AS x, src AS y FROM e UNION SELECT w.x, s.y FROM w JOIN s ON w.y = s.x), r AS (SELECT x AS node, min(y) AS root FROM w GROUP BY 1), a AS (SELECT * FROM r UNION ALL SELECT dst, min(root) FROM e JOIN r ON src = node GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM a",
+    "wcc": "WITH RECURSIVE e AS (SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#2'), s AS (SELECT DISTINCT a.src AS x, b.src AS y FROM e a JOIN e b ON a.dst = b.dst), w AS (SELECT src AS x, src AS y FROM e UNION SELECT w.x, s.y FROM w JOIN s ON w.y = s.x), r AS (SELECT x AS node, min(y) AS root FROM w GROUP BY 1), a AS (SELECT * FROM r UNION ALL SELECT dst, min(root) FROM e JOIN r ON src = node GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM a",
     "pagerank": NATIONS_SQL + ", o AS (SELECT src, count(*) AS k FROM e GROUP BY 1)" + "".join(f", p{i} AS (" + ("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS s FROM n" if i == 0 else f"SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(p.s / o.k) FROM e JOIN p{i - 1} p ON p.id = e.src JOIN o ON o.src = e.src WHERE e.dst = n.id), 0) + (SELECT coalesce(sum(s), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM n)) AS s FROM n") + ")" for i in range(6)) + " SELECT id AS node, round(s, 6) AS score FROM p5",
     "reachable": NATIONS_SQL + ", w AS (SELECT 3::BIGINT AS node, 0.0::DOUBLE AS c UNION SELECT dst, c + (src * 100 + dst) % 13 + 1 FROM w JOIN e ON src = node WHERE c + (src * 100 + dst) % 13 + 1 <= 20) SELECT node, min(c) AS cost FROM w GROUP BY 1",
     "spatial_nearest": "SELECT s_suppkey AS node, round(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians(s_suppkey % 170 - 85.0::DOUBLE) - radians(42.7::DOUBLE)) / 2), 2) + cos(radians(s_suppkey % 170 - 85.0::DOUBLE)) * cos(radians(42.7::DOUBLE)) * pow(sin((radians(s_suppkey * 7 % 360 - 180.0::DOUBLE) - radians(23.3::DOUBLE)) / 2), 2)))), 3) AS meters FROM supplier ORDER BY meters, node LIMIT 10",
-    "text_fuzzy": "SELECT n_nationkey::BIGINT AS node, levenshtein(n_name, 'IRAM') AS distance FROM nation WHERE levenshtein(n_name, 'IRAM') <= 2",
+    "text_fuzzy": "SELECT n_nationkey::BIGINT AS node, levenshtein(n_name, 'NATION_21') AS distance FROM nation WHERE levenshtein(n_name, 'NATION_21') <= 1",
     "vector_query": "SELECT vec_id AS node, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10",
     "memory_next": "SELECT * FROM (SELECT conv_id * 65536 + turn AS src, lead(conv_id * 65536 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) WHERE dst IS NOT NULL",
     "graph_expand": NATIONS_SQL + ", b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT 3::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN b ON src = node WHERE d < 2) SELECT node, min(d)::INTEGER AS distance FROM w GROUP BY 1",

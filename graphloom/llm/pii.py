@@ -154,9 +154,9 @@ def discover(base: DataFrame, rounds: int = 3, threshold: float = 0.9, support:
     fan = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     scores = links.groupBy("value").agg(F.max("kind").alias("kind")).select("value", *one)
     for _ in range(rounds):
-        by_value = links.withColumn("salt", F.pmod(F.hash("pattern"), F.lit(SALTS))).join(scores.withColumn("salt", fan), ["value", "salt"])
+        by_value = links.withColumn("salt", F.pmod(F.hash("pattern"), F.lit(SALTS))).join(scores.withColumn("salt", fan).hint("merge"), ["value", "salt"])
         rated = by_value.groupBy("pattern").agg(F.count("*").alias("n"), *[(F.sum(f"s{n}") / (F.count("*") + smoothing)).alias(f"p{n}") for n in range(4)]).filter(F.col("n") >= support)
-        by_pattern = links.withColumn("salt", F.pmod(F.hash("value"), F.lit(SALTS))).join(rated.withColumn("salt", fan), ["pattern", "salt"], "left")
+        by_pattern = links.withColumn("salt", F.pmod(F.hash("value"), F.lit(SALTS))).join(rated.withColumn("salt", fan).hint("merge"), ["pattern", "salt"], "left")
         miss = lambda n: F.log(1 - F.least(F.coalesce(f"p{n}", F.lit(0.0)), F.lit(0.999)))
         scores = by_pattern.groupBy("value").agg(F.max("kind").alias("kind"), *[(1 - F.exp(F.sum(miss(n)))).alias(f"q{n}") for n in range(4)])
         scores = scores.select("value", *[F.when(F.col("kind").isNull(), F.col(f"q{n}")).when(F.col("kind") == n, 1.0).otherwise(0.0).alias(f"s{n}") for n in range(4)])
@@ -165,7 +165,7 @@ def discover(base: DataFrame, rounds: int = 3, threshold: float = 0.9, support:
     kind = reduce(lambda rest, n: F.when(F.col(f"s{n}") == best, n).otherwise(rest), (2, 1, 0), F.lit(3))
     found = scores.select("value", best.alias("score"), kind.cast("int").alias("found")).filter(F.col("score") >= threshold)
     salted = cands.withColumn("salt", F.pmod(F.hash("__id", "start"), F.lit(SALTS)))
-    return salted.join(found.withColumn("salt", fan), ["value", "salt"]).select("__id", "__hash", F.col("found").alias("kind"), "start", "end", "value").distinct()
+    return salted.join(found.withColumn("salt", fan).hint("merge"), ["value", "salt"]).select("__id", "__hash", F.col("found").alias("kind"), "start", "end", "value").distinct()
 
 
 def _by_row(found: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from tokenizers import Tokenizer as LibraryTokenizer
 from .common import small_batches
 
 OLD = unicodedata.ucd_3_2_0.category
-MEMORY = 150_000
+MEMORY = 250_000
 
 
 def _byte_letters() -> list[str]:
@@ -56,8 +56,15 @@ class Automaton:
         self.copies: dict[int, list[tuple[str, int]]] = {}
         for at, (u, v) in enumerate(merges):
             self._gadget(at, u, v)
-        self.labels = {t for t in vocab if self._live(t)}
-        self.prefixes = {t[:k] for t in self.labels for k in range(1, len(t) + 1)}
+        labels = {t for t in vocab if self._live(t)}
+        self.last = {t.removesuffix(suffix) for t in labels if t.endswith(suffix)}  # what may end a word, without the suffix
+        self.trie: dict = {}  # the others by their symbols; key None holds the token
+        for t in labels:
+            if not suffix or not t.endswith(suffix):
+                node = self.trie
+                for symbol in t:
+                    node = node.setdefault(symbol, {})
+                node[None] = t
 
     def _live(self, token: str) -> bool:
         """Whether a token has arcs: base symbols do, others once a gadget laid them."""
@@ -114,18 +121,25 @@ class Automaton:
         so a position can be reached in one state only and is left for good when no
         path from it ends: the run is linear in the number of positions.
         """
-        n, suffix, vocab, prefixes, target, known, arc = len(word), self.suffix, self.labels, self.prefixes, self.target, self.known, self.arc
+        n, suffix, last, trie, target, known, arc = len(word), self.suffix, self.last, self.trie, self.target, self.known, self.arc
+        if word in last:
+            return [word + suffix]
         path: list[tuple[int, int, list[tuple[int, str]]]] = []
         dead: set[int] = set()
         i, state, out = 0, 0, []
         while i < n:
-            options, j = [], i + 1
-            while j < n and (token := word[i:j]) in prefixes:
-                if token in vocab and j not in dead:
-                    options.append((j, token))
+            options, j, node = [], i, trie
+            while True:
+                node = node.get(word[j])
                 j += 1
-            if j == n and (token := word[i:] + suffix) in vocab:
-                options.append((n, token))
+                if node is None or j == n:
+                    break
+                token = node.get(None)
+                if token is not None and j not in dead:
+                    options.append((j, token))
+            rest = word[i:]
+            if rest in last:
+                options.append((n, rest + suffix))
             while True:
                 while options:
                     j, token = options.pop()  # the longest first
@@ -174,7 +188,8 @@ class Tokenizer:
         return [w.translate(self.back).encode("latin-1").decode() for w, _ in self.rule.pre_tokenize_str(stretch)]
 
     def _word(self, word: str) -> tuple[str, str, int]:
-        tokens = self.automaton.encode(word.encode().decode("latin-1").translate(self.table))
+        plain = word.isascii() and word.isprintable()  # such characters stand for themselves
+        tokens = self.automaton.encode(word if plain else word.encode().decode("latin-1").translate(self.table))
         vocab = self.automaton.vocab
         if len(self.seen) >= self.memory:
             self.seen.clear()

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prefix_sums, written
@@ -126,12 +126,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def _occurrences(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Seeds, and identifier-like tokens of five digits or an @ that overlap no seed."""
     seeds = base.select("__id", "__hash", F.explode("spans").alias("s")).select("__id", "__hash", "s.*")
-    free = F.filter(
-        "cands",
-        lambda c: ((F.length(_digits(c["value"])) >= 5) | c["value"].contains("@")) & ~F.exists("spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])),
-    )
-    cands = base.filter(F.size("cands") > 0).select("__id", "__hash", F.explode(free).alias("s")).select("__id", "__hash", F.lit(None).cast("int").alias("kind"), "s.start", "s.end", "s.value", "s.left", "s.right")
-    return seeds, cands.select(seeds.columns)
+    shape = F.filter("cands", lambda c: (F.length(_digits(c["value"])) >= 5) | c["value"].contains("@"))
+    cands = base.filter(F.size("cands") > 0).select("__id", "__hash", F.explode(shape).alias("s")).select("__id", "__hash", F.lit(None).cast("int").alias("kind"), "s.start", "s.end", "s.value", "s.left", "s.right").select(seeds.columns)
+    # by place within a document: a candidate is free if the seeds before it end, and those after it begin, beyond it
+    row = Window.partitionBy("__id", "__hash").orderBy("start", F.col("kind").asc_nulls_last())
+    before = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
+    placed = seeds.unionByName(cands).withColumns({"__before": before, "__after": after}).filter("kind is null")
+    free = placed.filter("(__before is null or __before <= start) and (__after is null or __after >= end)")
+    return seeds, free.select(seeds.columns)
 
 
 def _patterns(df: DataFrame) -> DataFrame:

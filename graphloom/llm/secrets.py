@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import prefix_sums, written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_.-]{16,}+={0,2}"
+# '=' belongs to a candidate as trailing padding only: NAME=value gives the value (and a long NAME without its '=').
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+(?:={1,2}+(?![A-Za-z0-9+/_.-]))?"
 DICTIONARY = "the|and|ing|tion|ment|able|ough|with|from|this|that|have|will|your|example|test|sample|string|value|config|data|user|name|path|file|http|www|com|org|net|src|lib|bin|usr|home|main|class|public|static|index|image|version|release|package|module|service|server|client|table|column|model|ation|ness|ible|less|ther|tho|ere|ent|ion|her|tha|nth|int|ver|sch|cht|ung|eit|que|les|est|eur|aux|los|con|cion|ado|ara|end|ous|pre|pro|inter|over|under|trans|super|auto|self"
 SPEAKS_FOR = r"(?i)(token|secret|passw|passwd|api.?key|access.?key|private|credential|auth|bearer|pwd)"
 SPEAKS_AGAINST = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|revision|etag|integrity|fingerprint|page|isbn|order|invoice)"
@@ -81,6 +82,12 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 7, seed: int = 5) ->
     return RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed).fit(featured(findings))
 
 
+def _named(hit: Column, i: Column) -> Column:
+    """The candidate before, if it is the name that this one is assigned to; else empty."""
+    name, gap = F.get("hit", i - 1), F.get("gap", i)
+    return F.when((F.length(gap) <= 12) & gap.rlike(r"^[\"'`]?\s*[=:]?\s*[\"'`]?$") & F.concat(name, gap).rlike(r"[=:]\s*[\"'`]?$"), name).otherwise(F.lit(""))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """__id, __hash, start, end, value, before, after of every candidate."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -88,10 +95,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = df.select("__id", "__hash", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("hit"), F.split("t", CANDIDATE, -1).alias("gap"))
     df = df.withColumn("pre", prefix_sums(F.zip_with("hit", F.slice("gap", F.lit(1), F.size("hit")), lambda h, g: (F.length(g) + F.length(h)).cast("long"))))
     # one array that holds all, exploded at once: lambdas see each element with its number
-    each = F.transform(F.arrays_zip("hit", "pre", F.slice("gap", F.lit(1), F.size("hit")).alias("left"), F.slice("gap", F.lit(2), F.size("hit")).alias("right")), lambda x: x)
+    each = F.transform(F.arrays_zip("hit", "pre", F.slice("gap", F.lit(1), F.size("hit")).alias("left"), F.slice("gap", F.lit(2), F.size("hit")).alias("right"), F.transform("hit", _named).alias("name")), lambda x: x)
     df = df.select("__id", "__hash", F.explode(each).alias("x"))
     start = (F.col("x.pre") + F.length("x.left")).cast("long")
-    return df.select("__id", "__hash", start.alias("start"), (start + F.length("x.hit")).alias("end"), F.col("x.hit").alias("value"), F.right("x.left", F.lit(40)).alias("before"), F.left("x.right", F.lit(40)).alias("after"))
+    return df.select("__id", "__hash", start.alias("start"), (start + F.length("x.hit")).alias("end"), F.col("x.hit").alias("value"), F.right(F.concat("x.name", "x.left"), F.lit(40)).alias("before"), F.left("x.right", F.lit(40)).alias("after"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

@@ -117,3 +117,20 @@ def test_secrets_against_held_out_findings(spark):
     rows = [(1, f'x token = "{key}" y', 1), (2, f"see commit {key} fixed", 2), (3, None, 3), (3, None, 3), (None, "", 4), (5, "a" * 100_000, 5), (6, f'token = "{key}" ' * 500, 6)]
     got = sorted(((r.doc_id or 0, r.n_candidates, r.n_secrets, r.spans[:6]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()))
     assert got[0] == (0, 0, 0, "") and got[1] == (1, 1, 1, "11:51:") and got[2][:3] == (2, 1, 0) and got[3] == got[4] == (3, 0, 0, "") and got[5][1] == 1 and got[6][:3] == (6, 500, 500)
+
+
+def test_secrets_directly_after_an_equals_sign(spark):
+    key, name = "3f9ad1c07be2448f9a6d0c5e7b1f20aa93d4e5f6", "AWS_SECRET_ACCESS_KEY"
+    texts = [f"secret={key}", f"x\ntoken={key}\ny", f"{name}={key}", f"https://x/?access_token={key}&z=1", f'{name}="{key}"', f"token=={key[:30]}==", f"{key[:38]}==", f"digest={key}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in secrets.candidates(docs).collect():
+        assert texts[r["__id"]][r.start : r.end] == r.value
+        got.setdefault(r["__id"], {})[r.value] = r.before
+    assert [set(got[i]) for i in range(8)] == [{key}, {key}, {name, key}, {key}, {name + "=", key}, {key[:30] + "=="}, {key[:38] + "=="}, {key}]
+    assert got[2][key] == f"{name}=" and got[3][key].endswith("access_token=") and got[4][key] == f'{name}="'
+    found = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    for i in range(5):
+        at = texts[i].index(key)
+        assert f"{at}:{at + len(key)}:" in found[i], (texts[i], found[i])
+    assert "7:47:" not in found[7]

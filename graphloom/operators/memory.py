@@ -44,25 +44,32 @@ def recall_vector(messages: DataFrame, session: str, vector: list[float], k: int
 
 
 def facts(assertions: DataFrame) -> DataFrame:
-    """Validity of facts from a log: (subject, relation, object, op, exclusive, ts) to (..., valid_from, valid_until).
+    """Validity of facts from a log: (subject, relation, object, op, exclusive, ts[, seq]) to (..., valid_from, valid_until).
 
     An assertion of a fact that holds changes nothing; an exclusive one closes the
     subject's other facts of the relation; a retraction closes the fact.  Half-open:
-    valid_from <= t < valid_until.
+    valid_from <= t < valid_until.  Equal times follow seq; without it, or for equal seq,
+    assertions by object, then retractions.  A fact closed at the time it began gives
+    an empty stretch.
     """
-    closes = F.when(F.col("op") == "assert", F.when(F.col("exclusive"), F.struct("object", "ts")))
-    # all exclusive assertions of the group after a row, in time: the first of another object ends it
-    log = assertions.withColumn("excl", F.collect_list(closes).over(Window.partitionBy("subject", "relation")))
-    own = Window.partitionBy("subject", "relation", "object").orderBy("ts")
-    retracts = F.collect_list(F.when(F.col("op") == "retract", F.col("ts"))).over(Window.partitionBy("subject", "relation", "object"))
-    log = log.withColumn("gone", retracts).filter("op = 'assert'")
-    by_other = F.array_min(F.transform(F.filter("excl", lambda s: (s["object"] != F.col("object")) & (s["ts"] >= F.col("ts"))), lambda s: s["ts"]))
-    by_retract = F.array_min(F.filter("gone", lambda t: t >= F.col("ts")))
-    log = log.withColumn("until", F.least(by_other, by_retract))
+    seq = F.col("seq") if "seq" in assertions.columns else F.lit(0)
+    log = assertions.withColumn("at", F.struct("ts", seq.alias("seq"), (F.col("op") != "assert").alias("n"), F.col("object").alias("o")))
+    # backwards in time, frames only grow: linear for a subject that holds many rows
+    group = Window.partitionBy("subject", "relation").orderBy(F.desc("at"))
+    own = Window.partitionBy("subject", "relation", "object")
+    upto, later = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
+    excl = F.when((F.col("op") == "assert") & F.col("exclusive"), F.struct("object", "at"))
+    log = log.withColumns({"next": F.last(excl, True).over(group.rowsBetween(*upto)), "after": F.last(excl, True).over(group.rowsBetween(*later))})
+    # where the exclusive assertions change their object: that ends the object before
+    change = F.when(excl.isNotNull() & (F.col("after.object") != F.col("object")), F.col("after.at"))
+    log = log.withColumn("change", F.last(change, True).over(group.rowsBetween(*upto)))
+    by_other = F.when(F.col("next.object") != F.col("object"), F.col("next.at")).otherwise(F.col("change"))
+    retract = F.last(F.when(F.col("op") == "retract", F.col("at")), True).over(own.orderBy(F.desc("at")).rowsBetween(*upto))
+    log = log.withColumns({"by_other": by_other, "by_retract": retract}).filter("op = 'assert'").withColumn("until", F.least("by_other", "by_retract"))
     # a re-assertion inside an open stretch has the same end: the earliest stands
-    first = log.withColumn("before", F.lag("until").over(own)).withColumn("n", F.row_number().over(own))
-    kept = first.filter("n = 1 or (before is not null and before <= ts)")
-    return kept.select("subject", "relation", "object", F.col("ts").alias("valid_from"), F.col("until").alias("valid_until"))
+    first = log.withColumns({"before": F.lag("until").over(own.orderBy("at")), "row": F.row_number().over(own.orderBy("at"))})
+    kept = first.filter("row = 1 or (before is not null and before <= at)")
+    return kept.select("subject", "relation", "object", F.col("ts").alias("valid_from"), F.col("until.ts").alias("valid_until"))
 
 
 def facts_at(table: DataFrame, name: str | None, at: str | None) -> DataFrame:

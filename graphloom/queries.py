@@ -87,6 +87,15 @@ def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return r("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(F.lit("N")).alias("labels"), F.col("n_name").alias("name")), edges
 
 
+def _traders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations that trade, whole: customer's nation -> supplier's nation on any line item of any order (for queries without SQL)."""
+    r = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = r("orders").join(r("customer"), F.col("o_custkey") == F.col("c_custkey")).join(r("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(r("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = rows.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+    edges = pairs.select((F.col("src") * 100 + F.col("dst")).alias("id"), "src", "dst", F.lit("T").alias("type"), F.lit(1.0).alias("weight"))
+    return r("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(F.lit("N")).alias("labels"), F.col("n_name").alias("name")), edges
+
+
 NATIONS_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_totalprice > 150000 AND o_orderkey % 7 = 0 AND (c_nationkey * 31 + s_nationkey * 17) % 9 = 0), n AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
 
 
@@ -147,17 +156,17 @@ def _hybrid(spark, sf_dir):
 
 BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pagerank": _graph(lambda n, e: centrality.pagerank(n, e, iterations=5, tolerance=0.0)),
-    "pagerank_personalized": lambda s, d: (lambda n, e: _rounded(centrality.pagerank(n, e, iterations=4, tolerance=0.0, seeds=s.createDataFrame([(3, 1.0)], "id long, weight double"))))(*_nations(s, d)),
-    "wcc": _graph(groups.wcc, _trade), "scc": _graph(groups.scc), "triangles": _graph(centrality.triangles), "closeness": _graph(centrality.closeness), "betweenness": _graph(centrality.betweenness),
-    "louvain": _graph(groups.louvain), "ricci_curvature": _graph(lambda n, e: groups.ricci(e)),
-    "bfs": lambda s, d: traverse.bfs(_nations(s, d)[1], [3], 3), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_nations(s, d)[1], 3, 21),
+    "pagerank_personalized": lambda s, d: (lambda n, e: _rounded(centrality.pagerank(n, e, iterations=4, tolerance=0.0, seeds=s.createDataFrame([(3, 1.0)], "id long, weight double"))))(*_traders(s, d)),
+    "wcc": _graph(groups.wcc, _trade), "scc": _graph(groups.scc), "triangles": _graph(centrality.triangles), "closeness": _graph(centrality.closeness), "betweenness": _graph(centrality.betweenness, _traders),
+    "louvain": _graph(groups.louvain, _traders), "ricci_curvature": _graph(lambda n, e: groups.ricci(e), _traders),
+    "bfs": lambda s, d: traverse.bfs(_nations(s, d)[1], [3], 3), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_traders(s, d)[1], 3, 21),
     "graph_expand": lambda s, d: traverse.expand(*_nations(s, d), [3], 2).select("node", "distance"),
     "spatial_nearest": _points, "fts_bm25": lambda s, d: _rounded(search.fts(_docs(s, d), "license", 20)), "text_fuzzy": _fuzzy,
     "vector_query": lambda s, d: (lambda v, q: _rounded(search.vector_query(v, q, 10)))(*_vectors(s, d)), "hybrid_search": _hybrid,
     "keywords": lambda s, d: _rounded(search.keywords(_docs(s, d), 3), 4).select("id", "rank", "term", "score"),
     "entity_candidates": lambda s, d: _rounded(entities.candidates(_people(s, d).filter("id < 400"), threshold=0.97), 6).select("a", "b", "score"),
     "memory_facts": _facts, "memory_next": lambda s, d: memory.next_edges(_turns(s, d)),
-    "rag_retrieve": lambda s, d: _rounded(rag.retrieve(*_nations(s, d), "NATION_3", k=2)[0]).select("node", "distance", "rank"),
+    "rag_retrieve": lambda s, d: _rounded(rag.retrieve(*_traders(s, d), "NATION_3", k=2)[0]).select("node", "distance", "rank"),
     "extract_chunks": lambda s, d: rag.chunks(_docs(s, d)).select("id", "position", "offset", "length"),
 }
 

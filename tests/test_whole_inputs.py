@@ -33,3 +33,30 @@ def test_memory_facts_takes_every_order(spark, tmp_path):
     got = sorted(map(tuple, queries.BUILT["memory_facts"](spark, str(tmp_path)).collect()), key=str)
     assert got == brute_facts([(str(c), "STATUS", s, "assert", True, d, k) for k, c, s, d in rows])
     assert ("1", "STATUS", "O", "2024-01-01", "2024-01-02") in got and len(got) == 5
+
+
+def test_trade_graph_of_every_order(spark, tmp_path):
+    r = random.Random(8)
+    tables = {
+        "nation": ([(n, f"NATION_{n}") for n in range(25)], "n_nationkey int, n_name string"),
+        "customer": ([(c, c % 25) for c in range(50)], "c_custkey long, c_nationkey int"),
+        "supplier": ([(s, r.randrange(25)) for s in range(40)], "s_suppkey long, s_nationkey int"),
+        "orders": ([(k, r.randrange(50), r.choice([100.0, 200_000.0])) for k in range(60)], "o_orderkey long, o_custkey long, o_totalprice double"),
+        "lineitem": ([(r.randrange(60), r.randrange(40)) for _ in range(90)], "l_orderkey long, l_suppkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    customer, supplier, orders = dict(tables["customer"][0]), dict(tables["supplier"][0]), {k: c for k, c, _ in tables["orders"][0]}
+    want = {(customer[orders[k]], supplier[s]) for k, s in tables["lineitem"][0]}
+    assert {(e.src, e.dst) for e in queries._traders(spark, str(tmp_path))[1].collect()} == want
+    steps = {3: 0}  # breadth first, both directions, two hops: what retrieval expands to
+    for d in (1, 2):
+        steps |= {y: d for x, y in want | {(b, a) for a, b in want} if steps.get(x) == d - 1 and y not in steps}
+    got = {row.node: row.distance for row in queries.BUILT["rag_retrieve"](spark, str(tmp_path)).collect()}
+    assert got[3] == 0 and all(steps[n] == d for n, d in got.items())
+    score = {n: 1.0 * (n == 3) for n in range(25)}
+    for _ in range(4):
+        lost = sum(v for n, v in score.items() if all(a != n for a, _ in want))
+        score = {n: (n == 3) * (0.15 + 0.85 * lost) + 0.85 * sum(score[a] / sum(x == a for x, _ in want) for a, b in want if b == n) for n in range(25)}
+    got = {row.node: row.score for row in queries.BUILT["pagerank_personalized"](spark, str(tmp_path)).collect()}
+    assert set(got) <= set(score) and all(abs(got.get(n, 0.0) - v) < 2e-6 for n, v in score.items())

@@ -2,8 +2,9 @@
 
 1. Base rules find seed entities (email, ip, card, phone) with code-point spans.
 2. The words beside each seed induce lexical patterns: ``L|word``, ``R|word`` and
-   ``LR|word|word``.  Identifier-like tokens that no rule matched are the
-   candidates; they share the same patterns.
+   ``LR|word|word``.  Identifier-like tokens and runs of digit groups (joined by
+   blanks, brackets, dots and dashes) that no rule matched are the candidates; they
+   share the same patterns.  A token inside a free run gives way to it.
 3. Patterns and instances form a bipartite graph.  In each round a pattern's
    score for a kind is the mean score of its instances (smoothed), an
    instance's score is the noisy-or of its patterns; seeds stay at 1.
@@ -35,6 +36,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATE = r"(?<!\S)(?=\S*[0-9@])\S{6,}+"
+# Two digit groups or more; a group with letters attached ends the run before it, and so does the end of a sentence.
+RUN = r"(?<!\S)[(+]{0,2}+[0-9]++(?![^\s().,;:!?\]\"'>-])(?:(?:(?!\.\s)[\x20().-]){1,3}+[0-9]++(?![^\s().,;:!?\]\"'>-]))++"
 SALTS = 16
 
 
@@ -66,6 +69,10 @@ def _as_span(n: int):
     return lambda s: F.struct(F.lit(n).alias("kind"), *[s[f].alias(f) for f in fields])
 
 
+def _as_cand(run: bool):
+    return lambda s: F.struct(*[s[f].alias(f) for f in ("start", "end", "value", "left", "right")], F.lit(run).alias("run"))
+
+
 def _maybe(kind: str, text: Column) -> Column:
     """A cheap necessary condition, so that most texts never meet the rule itself."""
     if kind == "email":
@@ -119,22 +126,29 @@ def base_spans(docs: DataFrame) -> DataFrame:
         df = _located(_pieces(df, kind, PATTERNS[kind], _maybe(kind, F.col("__text"))), kind)
         df = df.withColumn(f"{kind}_at", F.filter(f"{kind}_at", _span_test(kind)))
     df = _located(_pieces(df, "cand", CANDIDATE, F.col("__text").rlike("[0-9@]")), "cand")
+    df = _located(_pieces(df, "run", RUN, F.col("__text").rlike(r"[0-9][\x20().-]")), "run")
+    cands = F.concat(*[F.transform(f"{c}_at", _as_cand(c == "run")) for c in ("run", "cand")])
     spans = F.flatten(F.array(*[F.transform(f"{k}_at", _as_span(n)) for n, k in enumerate(KINDS)]))
-    return df.select("__id", "__hash", *[F.size(f"{k}_at").cast("long").alias(f"n_{k}") for k in KINDS], spans.alias("spans"), F.col("cand_at").alias("cands"))
+    return df.select("__id", "__hash", *[F.size(f"{k}_at").cast("long").alias(f"n_{k}") for k in KINDS], spans.alias("spans"), cands.alias("cands"))
+
+
+def _free(row, blocks: Column) -> Column:
+    """By place within a document: the blocking rows before it end, and those after it begin, beyond it."""
+    before = F.max(F.when(blocks, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(blocks, F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
+    return (before.isNull() | (before <= F.col("start"))) & (after.isNull() | (after >= F.col("end")))
 
 
 def _occurrences(base: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Seeds, and identifier-like tokens of five digits or an @ that overlap no seed."""
+    """Seeds, and candidates of five digits or an @ that overlap no seed: runs, and tokens outside these runs."""
     seeds = base.select("__id", "__hash", F.explode("spans").alias("s")).select("__id", "__hash", "s.*")
     shape = F.filter("cands", lambda c: (F.length(_digits(c["value"])) >= 5) | c["value"].contains("@"))
-    cands = base.filter(F.size("cands") > 0).select("__id", "__hash", F.explode(shape).alias("s")).select("__id", "__hash", F.lit(None).cast("int").alias("kind"), "s.start", "s.end", "s.value", "s.left", "s.right").select(seeds.columns)
-    # by place within a document: a candidate is free if the seeds before it end, and those after it begin, beyond it
-    row = Window.partitionBy("__id", "__hash").orderBy("start", F.col("kind").asc_nulls_last())
-    before = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
-    placed = seeds.unionByName(cands).withColumns({"__before": before, "__after": after}).filter("kind is null")
-    free = placed.filter("(__before is null or __before <= start) and (__after is null or __after >= end)")
-    return seeds, free.select(seeds.columns)
+    cands = base.filter(F.size("cands") > 0).select("__id", "__hash", F.explode(shape).alias("s")).select("__id", "__hash", F.lit(None).cast("int").alias("kind"), "s.start", "s.end", "s.value", "s.left", "s.right", "s.run")
+    row = Window.partitionBy("__id", "__hash").orderBy("start", F.col("kind").asc_nulls_last(), F.desc("run"))
+    placed = seeds.withColumn("run", F.lit(False)).unionByName(cands)
+    placed = placed.withColumn("__seedless", _free(row, F.col("kind").isNotNull()))
+    placed = placed.withColumn("__outside", _free(row, F.col("run") & F.col("__seedless")))
+    return seeds, placed.filter("kind is null and __seedless and (run or __outside)").select(seeds.columns)
 
 
 def _patterns(df: DataFrame) -> DataFrame:

@@ -62,3 +62,17 @@ def test_repeats_nulls_empty_and_clashing_columns(spark):
     assert red.columns == docs.columns
     assert sorted(r.text for r in red.collect()) == ["<EMAIL>", "<EMAIL>", "<IP>", "nothing"]
     assert pii.detect(docs.limit(0)).count() == 0
+
+
+def test_grouped_numbers_are_candidates(spark):
+    seeds = [(i, f"please call cell +1 (743) 555-{1000 + i} today ok", None, None, None) for i in range(12)]
+    texts = ["(743) 555-1234", "743 555 12 34", "0743-555.1234"]
+    hidden = [(100 + i, f"please call cell {t} today ok", None, None, None) for i, t in enumerate(texts)]
+    odd = [(200, "the value (743) 555-1111 is odd", None, None, None), (201, "10.0.0.1 5551234 x", None, None, None), (202, "in 1999. 12 345 6th", None, None, None)]
+    docs = spark.createDataFrame(seeds + hidden + odd, DOCS)
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    for i, t in enumerate(texts):
+        assert (got[100 + i].spans, got[100 + i].n_added) == (f"phone:17:{17 + len(t)}", 1)
+    assert got[200].spans == ""
+    free = {(r["__id"], r.value) for r in pii._occurrences(pii.base_spans(docs))[1].collect()}
+    assert {v for d, v in free if d > 200} == {"5551234", "12 345"}  # the run over a seed gives its free tokens; a sentence's end parts groups

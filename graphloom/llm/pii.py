@@ -60,10 +60,6 @@ def _span_test(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def _tag(kind: str):
-    return lambda h: F.when(_valid(kind, h), F.lit(f"<{kind.upper()}>")).otherwise(h)
-
-
 def _as_span(n: int):
     fields = ("start", "end", "value", "left", "right")
     return lambda s: F.struct(F.lit(n).alias("kind"), *[s[f].alias(f) for f in fields])
@@ -214,17 +210,41 @@ def detect(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """__cuts of each key: overlapping spans joined into one, of the kind of the longest, in order.
+
+    Kept as rows while they are merged; the list is bounded by the length of one document.
+    """
+    row = Window.partitionBy("__id", "__hash").orderBy("start", "end")
+    before = F.max("end").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce((before <= F.col("start")).cast("long"), F.lit(1))
+    spans = spans.withColumn("__new", new).withColumn("__n", F.sum("__new").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    longest = F.max(F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("kind")).alias("kind")))
+    whole = spans.groupBy("__id", "__hash", "__n").agg(F.min("start").alias("start"), F.max("end").alias("end"), (-longest["kind"]).alias("kind"))
+    return whole.groupBy("__id", "__hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
+
+
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """docs with every span replaced by <KIND>; other columns, null texts and row counts stay."""
+    """docs with every span replaced by <KIND>; other columns, null texts and row counts stay.
+
+    Base and added spans that overlap are cut as one; the offsets are those of the text as it was.
+    """
     base = written(base_spans(docs), "pii-base")
-    added = _by_row(discover(base, **options)).withColumn("added", F.array_sort(F.array_distinct(F.transform("added", lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value"), s["kind"].alias("kind"))))))
-    df = _match(_keys(docs), added).withColumn("__text", F.col("text"))
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    df = df.withColumn("__text", F.aggregate(F.coalesce("added", F.array().cast("array<struct<n:int,value:string,kind:int>>")), F.col("__text"), lambda t, s: F.replace(t, s["value"], F.get(names, s["kind"]))))
-    for kind in KINDS:
-        df = _pieces(df, kind, PATTERNS[kind], F.coalesce(_maybe(kind, F.col("__text")), F.lit(False)))
-        hit, gap = F.col(f"{kind}_hit"), F.col(f"{kind}_gap")
-        put = F.transform(hit, _tag(kind))
-        whole = F.array_join(F.zip_with(gap, put, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
-        df = df.withColumn("__text", F.when(F.size(hit) > 0, whole).otherwise(F.col("__text"))).drop(f"{kind}_hit", f"{kind}_gap")
-    return df.withColumn("text", F.col("__text")).select(docs.columns)
+    added = written(discover(base, **options), "pii-added")
+    plain = ("__id", "__hash", "kind", "start", "end")
+    seeds = base.select("__id", "__hash", F.explode("spans").alias("s")).select("__id", "__hash", "s.kind", "s.start", "s.end")
+    cuts = _merged(seeds.unionByName(added.select(*plain)).distinct())
+    # an added value that also stands inside other tokens of its document goes there too, longest first
+    also = added.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value", "kind"))).alias("__also"))
+    df = _match(_keys(docs), _match(cuts, also))
+    text, names = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    values = F.coalesce("__also", F.array().cast("array<struct<n:int,value:string,kind:int>>"))
+    clean = lambda gap: F.aggregate(values, gap, lambda t, s: F.replace(t, s["value"], F.get(names, s["kind"])))
+
+    def piece(c: Column, i: Column) -> Column:
+        begin = F.coalesce(F.get("__cuts", i - 1)["end"], F.lit(0)).cast("int")
+        return F.concat(clean(text.substr(begin + F.lit(1), c["start"].cast("int") - begin)), F.get(names, c["kind"]))
+
+    tail = clean(text.substr(F.element_at("__cuts", -1)["end"].cast("int") + F.lit(1), F.length(text)))
+    whole = F.concat(F.array_join(F.transform("__cuts", piece), ""), tail)
+    return df.withColumn("text", F.when(F.col("__cuts").isNotNull(), whole).otherwise(text)).select(docs.columns)

@@ -76,3 +76,13 @@ def test_grouped_numbers_are_candidates(spark):
     assert got[200].spans == ""
     free = {(r["__id"], r.value) for r in pii._occurrences(pii.base_spans(docs))[1].collect()}
     assert {v for d, v in free if d > 200} == {"5551234", "12 345"}  # the run over a seed gives its free tokens; a sentence's end parts groups
+
+
+def test_redact_cuts_overlapping_spans_as_one(spark):
+    seeds = [(i, f"please call cell +1 (743) 555-{1000 + i} today ok", None, None, None) for i in range(12)]
+    docs = seeds + [(100, "é😀 tel +33.1.23.45.67.89, 10.0.0.1 end", None, None, None), (101, "please call cell 743/555/9999x today, me.743/555/9999x@mail.example.com or 743/555/9999x, ok", None, None, None), (102, "a@b.c1.2.3.4", None, None, None), (103, None, None, None, None), (104, "10.0.0.1" + " 10.0.0.2" * 3000, None, None, None)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[0] == "please call cell <PHONE> today ok"
+    assert got[100] == "é😀 tel <PHONE>, <IP> end"
+    assert got[101] == "please call cell <PHONE> today, me.743/555/<EMAIL> or <PHONE>, ok"
+    assert got[102] == "<EMAIL>" and got[103] is None and got[104] == "<IP>" + " <IP>" * 3000

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -148,7 +149,7 @@ def verified(docs: DataFrame, reps: DataFrame, near: DataFrame, width: int, leas
 
 
 def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4, least: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs; least: links need that Jaccard similarity too."""
+    """doc_id, fp, component_id, class (one value for each component, even if ids clash) for every row of docs; least: links need that Jaccard similarity too."""
     rows = written(fingerprints(docs, width), "simhash-rows")
     reps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     near = written(links(reps.select("fp"), radius, segments), "simhash-links")
@@ -158,11 +159,11 @@ def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int =
     classes = connected_components(near, "a", "b", lambda df: written(df, "simhash-classes"))
     joined = reps.join(classes.withColumnsRenamed({"node": "fp"}), "fp", "left")
     least = joined.filter("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    of_fp = joined.join(least, "component", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    of_fp = joined.join(least, "component", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("component", "fp").alias("class"))
     of_fp = written(of_fp, "simhash-of-fp")
     salted = rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(8)))
     spread = of_fp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return salted.join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    return salted.join(spread, ["fp", "salt"]).select("doc_id", "fp", "component_id", "class")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -174,9 +175,25 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One document of each group: the one whose doc_id is the component's id.
 
-    Rows that repeat the doc_id and text of the kept document give one row; a
-    document without an id stays, as nothing names its group.
+    Rows that repeat the doc_id and text of the kept document give one row; of rows
+    that share a doc_id but not the text, each stands for its own group.  A document
+    without an id stays, as nothing names its group.
     """
-    kept = components(docs.filter("doc_id is not null"), **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    named = docs.filter("doc_id is not null")
+    groups = written(components(named, **options), "simhash-groups")
+    clash = groups.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("__clash"))
+    own = groups.filter("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("fp").alias("fp"))
+    own = own.groupBy("doc_id").agg(F.collect_set("fp").alias("__fps")).join(clash, "doc_id").withColumnRenamed("doc_id", "__kept")
+    own = written(own, "simhash-kept")
+    same = F.col("doc_id") == F.col("__kept")
+    out = named.join(own.filter("not __clash"), same, "left_semi").dropDuplicates(["doc_id"])
+    if not own.filter("__clash").isEmpty():
+        width = options.get("width", 4)
+
+        @F.pandas_udf("long")
+        def fp(texts: pd.Series) -> pd.Series:
+            return pd.Series([fingerprint(None if t is None else t.encode(), width) for t in texts], dtype="int64")
+
+        rows = named.join(own.filter("__clash"), same).withColumn("__fp", fp(F.col("text").cast("string")))
+        out = out.unionByName(rows.filter("array_contains(__fps, __fp)").dropDuplicates(["doc_id", "__fp"]).select(docs.columns))
+    return out.unionByName(docs.filter("doc_id is null"))

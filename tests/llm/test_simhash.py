@@ -76,3 +76,10 @@ def test_whole_table(spark):
 def test_keep_first_keeps_columns_and_rows_without_id(spark):
     docs = spark.createDataFrame([(2, "a b", "x"), (1, "a b", "y"), (1, "a b", "y"), (None, "a b", "z")], "doc_id long, text string, fp string")
     assert sorted(map(tuple, simhash.keep_first(docs).collect()), key=str) == [(1, "a b", "y"), (None, "a b", "z")]
+
+
+def test_keep_first_tells_clashing_ids_apart(spark):
+    a, b, c = ("one two three four five", "red green blue pink grey", "salt oil bread rice beans")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (0, b), (2, a), (3, None), (1, c), (4, c)], "doc_id long, text string")
+    got = sorted(map(tuple, simhash.keep_first(docs).collect()), key=str)
+    assert got == sorted([(0, b), (1, a), (1, c), (3, None)], key=str)

@@ -10,7 +10,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows and bytes of text, one row at least: what Python holds at once is bounded by them, whatever the session's batches are."""
+    for batch in batches:
+        text = batch.column(column).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            base = ends[at - 1] if at else 0
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds at once: texts may be long, and the default is 10,000 rows a batch."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
@@ -46,23 +63,66 @@ def written(df: DataFrame, label: str, partitions: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that nothing lazy needs any more.
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that nothing lazy needs any more.
 
     Then the JVM is asked to collect: only that lets Spark drop the shuffle files of
     finished jobs, which would otherwise pile up over a loop of batches.
     """
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    paths = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for name in paths:
-        while "/graphloom-" in name and not name.rsplit("/", 1)[1].startswith("graphloom-"):
-            name = name.rsplit("/", 1)[0]
-        if "/graphloom-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        for name in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            while "/graphloom-" in name and not name.rsplit("/", 1)[1].startswith("graphloom-"):
+                name = name.rsplit("/", 1)[0]
+            if "/graphloom-" in name:
+                delete(df.sparkSession, name)
     gc.collect()
-    jvm.System.gc()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+MAP_BITS = 27
+
+
+def bitmap_position(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - MAP_BITS)
+
+
+def bitmap(positions: DataFrame) -> bytes:
+    """2**MAP_BITS bits (16 MB, the same at any size), those at column ``p`` set."""
+    p = F.col("p") + 1
+    rows = positions.groupBy(F.bitmap_bucket_number(p).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("m")).collect()
+    whole = bytearray(1 << (MAP_BITS - 3))
+    for row in rows:
+        at = (row["b"] - 1) * 4096
+        whole[at : at + 4096] = row["m"]
+    return bytes(whole)
+
+
+def hit_rows(df: DataFrame, column: str, ids: DataFrame, invert: bool = False) -> DataFrame:
+    """Rows of df (a long and a text column among them) whose ``column`` may be among ids: all that are, and few others.
+
+    A fixed bitmap of hashes is what is broadcast, so most other rows are never shuffled;
+    a join decides on what is left.  invert: the rows that surely aren't.  A null is never hit.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(ids.filter(F.col(column).isNotNull()).select(bitmap_position(F.xxhash64(column)).alias("p"))))
+    order = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            p = batch.column(len(order))
+            p = pc.fill_null(p, 0).to_numpy()
+            hit = ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1) & pc.is_valid(batch.column(len(order))).to_numpy(zero_copy_only=False)
+            got = batch.filter(pa.array(hit != invert))
+            if got.num_rows:
+                yield got.select(list(range(len(order))))
+
+    place = F.when(F.col(column).isNotNull(), bitmap_position(F.xxhash64(column)))
+    return df.select(*[F.col(f"`{c}`") for c in order], place.alias("__place")).mapInArrow(run, df.schema)
 
 
 def sum_of(array: Column) -> Column:

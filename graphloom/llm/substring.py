@@ -1,47 +1,66 @@
 """Substring dedup with a log-structured fingerprint index.
 
-A window is 20 consecutive words.  The index is a set of sorted immutable runs of
-window hashes, one per batch; a new batch is merge-joined with the runs, verified
-by a second independent 32-bit hash (96 bits in all), appended as a run, and runs are compacted into
-one when there are more than ``fanout``.  Batches go by ascending doc_id, so that
-what a run holds starts earlier than anything in the batch.
-
-Only windows that can have a twin enter the index.  A window's anchor is the least
-hash of its 6-word grams; equal windows have equal anchors.  Anchors of distinct
-texts are counted over all documents, and those found twice or more set bits of a
-fixed-size map (2**27 bits, 16 MB), the only thing that is broadcast.  A bit that
-is set by chance costs a few more windows and changes no result.
-
-Texts are read twice in place and never shuffled, but for the documents that lose
-words (those meet their windows' starts by doc_id).
+A window is 20 consecutive words.  Its anchor is the least hash of its 6-word grams,
+so equal windows have equal anchors; neighbouring windows of one anchor are one entry
+of the index, which carries a 32-bit hash of each of them.  A window's fingerprint is
+its anchor and its own hash, 96 bits.  The index is a list of immutable runs, each
+bucketed and sorted by fingerprint and named in a manifest:
+
+- ``cold``: entries whose anchor one document has so far (all their windows);
+- ``hot``: anchors that several documents have;
+- ``windows``: the windows of hot anchors, each with its first place;
+- ``texts``: the distinct texts, so that the windows of a copy needn't be looked at.
+
+``Index.ingest`` takes the next batch, whatever came before or will come.  Its texts,
+anchors and windows are merge-joined with every run: these are read by their buckets
+and in their order, so history is neither shuffled nor sorted.  An anchor that turns
+hot takes its entry's windows over from its cold run.  What the batch adds is
+appended as a run; when there are ``fanout`` runs, they are compacted into one first.  Windows found
+again are verified on their words against the text where they were first.
+
+Hot keys: copies count once; keys are counted with map-side combination, and the few
+that hold over a thousandth of the rows (a thousand keys at most) are joined by
+broadcast, the others by merge.
 
 Defined cases: a null text has no word.  A row that repeats doc_id and words gets
 the same result as its twin.  Rows of one doc_id with different words aren't
 compared with each other, as neither has the smaller doc_id.  A null doc_id comes
-before all others.
+before all others.  An empty table gives an empty one; columns beyond doc_id and text
+are ignored, whatever their names.  A long text is one row of Python's memory and some
+ten numbers a word beside it.  Two different windows of one fingerprint leave words
+in (verification fails), never out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, small_batches, written
+from .common import delete, hit_rows, remove, shared_dir, slices, written
 
 WINDOW, GRAM = 20, 6
-MAP_BITS = 27
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NULL = -(1 << 63)
+LAYOUT = {
+    "cold": ("a long, id long, s int, w array<int>", ["a"]),
+    "hot": ("a long", ["a"]),
+    "windows": ("a long, w int, id long, s int", ["a", "w"]),
+    "texts": ("key long, sha binary, id long", ["key", "sha"]),
+}
 
 
-def _powers(m: np.uint64, n: int) -> np.uint64:
-    return np.uint64(pow(int(m), n, 1 << 64))
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_M), n, 1 << 64))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -50,231 +69,377 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _digests(words: list[bytes]) -> np.ndarray:
-    """n x 2 hashes of words."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
-
-
-def _ladder(x: np.ndarray) -> dict[int, np.ndarray]:
-    """Polynomial hashes of 2, 4, 8 and 16 consecutive items."""
-    out, h, n = {1: x}, x, 1
-    while n < 16 and len(h) > n:
-        h = h[:-n] * _powers(_M, n) + h[n:]
-        n *= 2
-        out[n] = h
-    return out
-
-
-def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: two hashes and the anchor; and the anchors found twice in the text.  At least 20 words."""
-    both = _digests(words)
-    first, second = _ladder(both[:, 0].copy()), _ladder(both[:, 1].copy())
-    n = len(words) - WINDOW + 1
-    hashes = [_mix(h[16][:n] * _powers(_M, 4) + h[4][16 : 16 + n]) for h in (first, second)]
-    grams = _mix(first[4][: len(words) - GRAM + 1] * _powers(_M, 2) + first[2][4 : len(words) - GRAM + 5])
-    least, k = grams, 1
-    while k < 8:
-        least = np.minimum(least[:-k], least[k:])
-        k *= 2
-    span = WINDOW - GRAM + 1
-    anchors = np.minimum(least[:n], least[span - 8 : span - 8 + n])
-    ordered = np.sort(grams)
-    dup = ordered[1:][ordered[1:] == ordered[:-1]]
-    return hashes[0], hashes[1], anchors, np.intersect1d(dup, anchors) if len(dup) else dup
-
-
-def _summary(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: words' hash, number, digest of all words, anchors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, key, sha, anchors, twice = [], [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                joined = b" ".join(words)
-                n.append(len(words))
-                key.append(xxhash.xxh64_intdigest(joined, 9) - (1 << 63))
-                sha.append(hashlib.sha256(joined).hexdigest())
-                if len(words) >= WINDOW:
-                    *_, a, t = windows(words)
-                    anchors.append(np.unique(a).view(np.int64))
-                    twice.append(t.view(np.int64))
-                else:
-                    anchors.append(np.zeros(0, np.int64))
-                    twice.append(np.zeros(0, np.int64))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(anchors, lists), pa.array(twice, lists)], names=["id", "key", "n_words", "sha", "anchors", "twice"])
-
-    return _plain(docs).mapInArrow(run, "id long, key long, n_words long, sha string, anchors array<long>, twice array<long>")
+def _grams(x: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hashes of n consecutive items, from those of powers of two."""
+    whole, size, done = None, 1, 0
+    while True:
+        if n & size:
+            ahead = x if whole is None else x[: max(0, len(whole) - size)]
+            # the items of this part come before those already taken
+            whole = ahead if whole is None else ahead * _power(done) + whole[size : size + len(ahead)]
+            done += size
+        if done == n:
+            return whole
+        x = x[:-size] * _power(size) + x[size:] if len(x) > size else x[:0]
+        size *= 2
+
+
+def fingerprints(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Of each text: anchors, first starts and hashes (0: repeated in the text) of its entries; starts of the windows that repeat."""
+    words = [w for t in texts for w in t]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), "<u8").reshape(-1, 2)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    own = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :]) if len(doc) >= WINDOW else np.zeros(0, np.int64)
+    if not len(own):
+        return (_nothing() for _ in texts)
+    hashes = _mix(_grams(both[at, 1], WINDOW))[own]
+    least, k, span = _mix(_grams(both[at, 0], GRAM)), 1, WINDOW - GRAM + 1
+    while 2 * k <= span:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    least = np.minimum(least[: len(least) - (span - k)], least[span - k :])[own]
+    doc = doc[own]
+    order = np.argsort(hashes + doc.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), kind="stable")
+    same = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    first = order[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))]
+    inner = np.zeros(len(own), bool)
+    for i, j in zip(order[1:][same].tolist(), first[1:][same].tolist()):
+        inner[i] = words[own[i] : own[i] + WINDOW] == words[own[j] : own[j] + WINDOW]
+    short = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    short[short == 0] = 1
+    short[inner] = 0
+    new = np.ones(len(own), bool)
+    new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    start = own - (np.cumsum(sizes) - sizes)[doc]
+    entries = np.searchsorted(doc[begin], np.arange(len(texts) + 1))
+    places = np.searchsorted(doc, np.arange(len(texts) + 1))
+    ends = np.append(begin, len(own))
+
+    def each(k: int):
+        e = slice(entries[k], entries[k + 1])
+        p = slice(places[k], places[k + 1])
+        return least[begin[e]].view(np.int64), start[begin[e]], [short[a:b] for a, b in zip(ends[e], ends[entries[k] + 1 : entries[k + 1] + 1])], start[p][inner[p]]
+
+    return map(each, range(len(texts)))
+
+
+def _nothing():
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("id"), F.col("text").cast("string").alias("text"))
 
 
-def _bitmap(positions: DataFrame) -> bytes:
-    """2**MAP_BITS bits, those at column ``p`` set."""
-    p = F.col("p") + 1
-    rows = positions.groupBy(F.bitmap_bucket_number(p).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(p)).alias("m")).collect()
-    whole = bytearray(1 << (MAP_BITS - 3))
-    for row in rows:
-        at = (row["b"] - 1) * 4096
-        whole[at : at + 4096] = row["m"]
-    return bytes(whole)
-
+def _words(column: pa.Array) -> list[list[bytes]]:
+    return [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in column.cast(pa.binary())]
 
-def _position(h):
-    return F.shiftrightunsigned(h, 64 - MAP_BITS)
 
+def _key(joined: bytes) -> int:
+    return xxhash.xxh64_intdigest(joined, 9) - (1 << 63)
 
-def _test(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    p = (h >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
-
-def _candidate_windows(docs: DataFrame, bitmap: bytes, cuts: list[int]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _entries(docs: DataFrame) -> DataFrame:
+    """One row per document: hashes and number of its words, its entries, and the starts of windows it repeats itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                if len(words) < WINDOW:
-                    continue
-                h1, h2, anchors, _ = windows(words)
-                at = np.flatnonzero(_test(bits, anchors))
-                if len(at):
-                    key = xxhash.xxh64_intdigest(b" ".join(words), 9) - (1 << 63)
-                    # what the text itself repeats is known here: only first occurrences are indexed
-                    order = np.lexsort((at, h2[at], h1[at]))
-                    a, b = h1[at][order], h2[at][order]
-                    inner = np.zeros(len(at), bool)
-                    inner[order[1:][(a[1:] == a[:-1]) & (b[1:] == b[:-1])]] = True
-                    same = lambda v, t: pa.array(np.full(len(at), v), t)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), same(doc, pa.int64()), same(key, pa.int64()), pa.array(at.astype(np.int32)), pa.array(inner), same(int(np.searchsorted(cuts, doc, "left")), pa.int32())], names=["h1", "h2", "id", "key", "start", "inner", "batch"])
-
-    return _plain(docs).mapInArrow(run, "h1 long, h2 int, id long, key long, start int, inner boolean, batch int")
+        for batch in slices(batches):
+            texts = _words(batch.column(1))
+            joined = [b" ".join(t) for t in texts]
+            a, s, w, inner = zip(*fingerprints(texts))
+            counts = [len(x) for x in a]
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            lists = [x for xs in w for x in xs]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]), pa.int32()))
+            entry = pa.StructArray.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(s).astype(np.int32)), flat], names=["a", "s", "w"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_key(j) for j in joined], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(j).digest() for j in joined], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), entry), pa.array(inner, pa.list_(pa.int64()))],
+                names=["id", "key", "n_words", "sha", "entries", "inner"],
+            )
+
+    return _plain(docs).mapInArrow(run, "id long, key long, n_words long, sha binary, entries array<struct<a:long,s:int,w:array<int>>>, inner array<long>")
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row per key and the number ``n`` of left rows of the key.
+
+    Keys that hold over a thousandth of the rows (at least 10,000) are a thousand at
+    most; they are broadcast.  how: inner, or left_anti.
+    """
+    limit = max(10_000, rows // 1000)
+    rest = right.filter(F.col("n") <= limit)
+    hot = right.filter(F.col("n") > limit)
+    if hot.isEmpty():
+        return left.join(rest, keys, how)
+    named = F.broadcast(hot.select(*keys))
+    cool = left.join(named, keys, "left_anti").join(rest, keys, how)
+    return cool if how == "left_anti" else cool.unionByName(left.join(F.broadcast(hot), keys, how))
+
+
+@contextmanager
+def _ordered(spark: SparkSession, buckets: int):
+    """Shuffles fit the buckets, and scans of sorted buckets tell their order, so that joins with runs merge without a sort; the settings are put back."""
+    own = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.shuffle.partitions": str(buckets)}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class Index:
-    """Sorted immutable runs of (h1, h2)."""
-
-    def __init__(self, fanout: int = 2):
-        self.runs: list[DataFrame] = []
-        self.fanout = fanout
-
-    def history(self) -> DataFrame | None:
-        if not self.runs:
-            return None
-        whole = self.runs[0]
-        for run in self.runs[1:]:
-            whole = whole.unionByName(run)
-        return whole
-
-    def ingest(self, batch: DataFrame) -> DataFrame:
-        """Windows of the batch (h1, h2, id, key, start) that start earlier, in the index or in the batch; then index it."""
-        known = batch.filter("not inner").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        past = self.history()
-        if past is None:
-            known = known.withColumn("old", F.lit(False))
-        else:
-            known = known.join(past.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
-        known = written(known, "lsm-known")
-        self.runs.append(written(known.filter("not old").select("h1", "h2").repartition("h1").sortWithinPartitions("h1", "h2"), "lsm-run"))
-        twins = known.filter("old or first < last").select("h1", "h2", F.when(F.col("old"), F.lit(_NULL)).otherwise(F.col("first")).alias("first"), "old")
-        again = batch.filter("not inner").join(twins, ["h1", "h2"]).filter("old or id > first").select("id", "key", "start")
-        again = written(again.union(batch.filter("inner").select("id", "key", "start")), "lsm-again")
-        remove(known)
-        if len(self.runs) > self.fanout:
-            self.compact()
-        return again
-
-    def compact(self) -> None:
-        """Merge all runs into one; they share no hash, as a run holds what was new."""
-        one = written(self.history().repartition("h1").sortWithinPartitions("h1", "h2"), "lsm-run")
-        for run in self.runs:
-            remove(run)
-        self.runs = [one]
-
-
-def repeated_windows(docs: DataFrame, batches: int = 4, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(summary of each row, starts of the windows that also start earlier).
-
-    The summary has ``copy``: an earlier row has the same words, so each window does too;
-    the starts need not hold the windows of such rows.
+    """Runs in a shared folder.  An index that is opened again goes on where it was left."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 2):
+        self.spark, self.fanout = spark, fanout
+        self.folder = folder or f"{shared_dir(spark)}/graphloom-lsm-{uuid.uuid4().hex}"
+        self.runs: list[dict[str, str]] = []
+        self.tables: dict[str, str] = {}
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        fs, path = self._file("manifest.json")
+        if fs.exists(path):
+            found = json.loads(spark.read.text(path.toString(), wholetext=True).first()[0])
+            self.runs, self.buckets = found["runs"], found["buckets"]
+
+    def _file(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _commit(self) -> None:
+        """The manifest names the runs that count; it replaces the one before when it is whole."""
+        fs, path = self._file("manifest.json")
+        _, new = self._file("manifest.new")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "runs": self.runs}).encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(new, path)
+
+    def open(self, kind: str, path: str) -> DataFrame:
+        """A run read by its buckets, in their order."""
+        if path not in self.tables:
+            columns, keys = LAYOUT[kind]
+            name = f"graphloom_{uuid.uuid4().hex}"
+            fs, at = self._file(path)
+            fs.mkdirs(at)
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {self.buckets} BUCKETS LOCATION '{at.toString()}'")
+            self.tables[path] = name
+        return self.spark.table(self.tables[path])
+
+    def close(self, forget: bool = False) -> None:
+        """Drop the session's names for the runs; forget: their files too."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = {}
+        if forget:
+            delete(self.spark, self.folder)
+
+    def past(self, kind: str) -> list[DataFrame]:
+        return [self.open(kind, run[kind]) for run in self.runs]
+
+    def _write(self, df: DataFrame, kind: str, apart: str | None = None) -> tuple[str, DataFrame | None]:
+        """df as a run: one sorted file a bucket.  apart: a boolean column; rows where it holds go to a table beside the run."""
+        name, path = f"graphloom_{uuid.uuid4().hex}", f"{kind}-{uuid.uuid4().hex}"
+        keys = LAYOUT[kind][1]
+        writer = df.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.folder}/{path}")
+        (writer.partitionBy(apart) if apart else writer).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # of an external table only the name goes
+        if apart is None:
+            return path, None
+        for part in ("false", "true"):
+            fs, there = self._file(f"{path}/{apart}={part}")
+            fs.mkdirs(there)  # where no row is
+        schema = df.drop(apart).schema
+        return f"{path}/{apart}=false", self.spark.read.schema(schema).parquet(there.toString())
+
+    def ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index a batch of (doc_id, text).
+
+        (one row per document: id, key, n_words, sha, copy, inner; and segments of windows
+        that came earlier: id, start s, length n in windows, first document id0 and start s0).
+        copy: the whole text came earlier, and so did each of its windows.
+        """
+        with _ordered(self.spark, self.buckets):
+            if len(self.runs) >= self.fanout:
+                self._compact()
+            return self._ingest(batch)
+
+    def _ingest(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = written(_entries(batch), "lsm-rows")
+        number = rows.count()
+        # whole texts
+        long = rows.filter(F.col("n_words") >= WINDOW)
+        texts = long.groupBy("key", "sha").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        old = F.lit(False)
+        for k, run in enumerate(self.past("texts")):
+            texts = texts.join(run.select("key", "sha", F.lit(True).alias(f"o{k}")), ["key", "sha"], "left")
+            old = old | F.coalesce(F.col(f"o{k}"), F.lit(False))
+        texts = texts.withColumn("old", old).select("key", "sha", "id", "n", "old")
+        texts_run, known = self._write(texts, "texts", "old")
+        fresh = self.spark.read.schema(known.schema).parquet(f"{self.folder}/{texts_run}")
+        firsts = fresh.withColumn("first", F.col("id")).unionByName(known.withColumn("first", F.lit(None).cast("long"))).drop("id")
+        narrow = long.select("id", "key", "n_words", "sha")
+        marked = hot_join(narrow, firsts, ["key", "sha"], number).select("id", "key", "n_words", "sha", (F.col("first").isNull() | (F.col("id") > F.col("first"))).alias("copy"))
+        marked = written(marked.unionByName(rows.filter(F.col("n_words") < WINDOW).select("id", "key", "n_words", "sha", F.lit(False).alias("copy"))), "lsm-marked")
+        copies = marked.filter("copy").select("id", "key").distinct()
+        own = written(long.join(copies, ["id", "key"], "left_anti").select("id", "key", "entries", "inner"), "lsm-own")
+        inner = written(own.filter(F.size("inner") > 0).select("id", "key", "inner"), "lsm-inner")
+        # anchors
+        entries = own.select("id", F.inline("entries"))
+        counted = entries.groupBy("a").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+        cold, hot = F.lit(False), F.lit(False)
+        for k, (one, several) in enumerate(zip(self.past("cold"), self.past("hot"))):
+            counted = counted.join(one.select("a").distinct().withColumn(f"c{k}", F.lit(True)), "a", "left").join(several.withColumn(f"h{k}", F.lit(True)), "a", "left")
+            cold, hot = cold | F.coalesce(F.col(f"c{k}"), F.lit(False)), hot | F.coalesce(F.col(f"h{k}"), F.lit(False))
+        shared = written(counted.select("a", "n", cold.alias("cold"), hot.alias("hot"), (F.col("low") < F.col("high")).alias("several")).filter("cold or hot or several"), "lsm-shared")
+        total = own.select(F.sum(F.size("entries"))).first()[0] or 0
+        limit = max(10_000, total // 1000)
+        named = shared.filter(F.col("n") > limit).select("a")  # a thousand at most
+        crowd = None if named.isEmpty() else entries.join(F.broadcast(named), "a", "left_semi")
+        few = entries if crowd is None else entries.join(F.broadcast(named), "a", "left_anti")
+        flagged = few.join(shared.select("a", F.lit(True).alias("hit")).hint("merge"), "a", "left").select("a", "id", "s", "w", F.coalesce("hit", F.lit(False)).alias("hit"))
+        cold_run, met = self._write(flagged, "cold", "hit")
+        met = met if crowd is None else met.unionByName(crowd.select("a", "id", "s", "w"))
+        hot_run, _ = self._write(shared.filter("not hot").select("a").repartition(self.buckets, "a"), "hot")
+        # windows of shared anchors
+        turned = shared.filter("cold and not hot").select("a")
+        place = lambda df: df.select("a", "id", "s", F.posexplode("w").alias("at", "w")).filter("w <> 0").select("a", "w", "id", (F.col("s") + F.col("at")).alias("s"))
+        mine, every = place(met), place(met)
+        for run in self.past("cold"):
+            every = every.unionByName(place(run.join(turned, "a", "left_semi")))
+        seen = every.groupBy("a", "w").agg(F.min("id").alias("id"), F.min_by("s", "id").alias("s"), F.max("id").alias("high"), F.count("*").alias("n"))
+        kept, at = F.lit(None).cast("long"), F.lit(None).cast("int")
+        old = F.lit(False)
+        for k, run in enumerate(self.past("windows")):
+            seen = seen.join(run.select("a", "w", F.col("id").alias(f"i{k}"), F.col("s").alias(f"s{k}")), ["a", "w"], "left")
+            old, kept, at = old | F.col(f"i{k}").isNotNull(), F.coalesce(kept, f"i{k}"), F.coalesce(at, f"s{k}")
+        seen = seen.select("a", "w", F.coalesce(kept, "id").alias("id"), F.coalesce(at, "s").alias("s"), (F.col("id") < F.col("high")).alias("several"), "n", old.alias("old"))
+        windows_run, before = self._write(seen, "windows", "old")
+        fresh = self.spark.read.schema(before.schema).parquet(f"{self.folder}/{windows_run}")
+        twins = before.withColumn("old", F.lit(True)).unionByName(fresh.filter("several").withColumn("old", F.lit(False)))
+        twins = twins.select("a", "w", F.col("id").alias("id0"), F.col("s").alias("s0"), "n", "old")
+        again = hot_join(mine, twins, ["a", "w"], total * 8).filter(F.col("old") | (F.col("id") > F.col("id0"))).select("id", "s", "id0", "s0")
+        segments = written(_segments(again), "lsm-segments")
+        self.runs.append({"cold": cold_run, "hot": hot_run, "windows": windows_run, "texts": texts_run})
+        self._commit()
+        for path in (cold_run, windows_run, texts_run):
+            delete(self.spark, f"{self.folder}/{path.rsplit('=', 1)[0]}=true")
+        remove(rows, own, shared)
+        return marked.join(inner, ["id", "key"], "left"), segments
+
+    def _compact(self) -> None:
+        """Merge all runs into one.  Runs share no text and no window; cold entries whose anchor has turned hot go."""
+        every = {kind: reduce(DataFrame.unionByName, self.past(kind)) for kind in LAYOUT}
+        every["cold"] = every["cold"].join(every["hot"], "a", "left_anti")
+        one = {kind: self._write(df.repartition(self.buckets, *LAYOUT[kind][1]), kind)[0] for kind, df in every.items()}
+        gone, self.runs = self.runs, [one]
+        self._commit()
+        self.close()
+        for run in gone:
+            for path in run.values():
+                delete(self.spark, f"{self.folder}/{path.split('/')[0]}")
+
+
+def _segments(again: DataFrame) -> DataFrame:
+    """Neighbouring windows whose first places are neighbours too, as one row: id, s, n, id0, s0."""
+    row = Window.partitionBy("id").orderBy("s", "id0", "s0")
+    goes_on = (F.col("id0") == F.lag("id0").over(row)) & (F.col("s") - F.lag("s").over(row) == 1) & (F.col("s0") - F.lag("s0").over(row) == 1)
+    numbered = again.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("k", F.sum("new").over(row))
+    return numbered.groupBy("id", "k").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("n"), F.min("id0").alias("id0"), F.min("s0").alias("s0")).drop("k")
+
+
+def cut(docs: DataFrame, marked: DataFrame, segments: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and the kept words, for those that lose some) of every row.
+
+    corpus: where the first places are (docs, if not given).  Only documents that lose
+    words or lend a passage are read beyond a fixed bitmap, and none is shuffled
+    whole for its neighbours: the passages meet the segments.
     """
-    rows = written(_summary(docs), "lsm-rows")
-    first = rows.filter(F.col("n_words") >= WINDOW).groupBy("key", "n_words", "sha").agg(F.min("id").alias("first"))
-    salts = 8
-    fan = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    narrow = rows.select("id", "key", "n_words", "sha").withColumn("salt", F.pmod(F.hash("id"), F.lit(salts)))
-    marked = narrow.join(first.withColumn("salt", fan), ["key", "n_words", "sha", "salt"], "left").select("id", "key", "n_words", "sha", F.coalesce(F.col("id") > F.col("first"), F.lit(False)).alias("copy"))
-    marked = written(marked, "lsm-marked")
-    # one row for each distinct text, whatever the number of its copies
-    texts = rows.filter(F.col("n_words") >= WINDOW).join(first.select("key", F.col("first").alias("id")).distinct(), ["key", "id"], "left_semi")
-    each = texts.select(F.explode("anchors").alias("a")).groupBy("a").count().filter("count > 1").select("a")
-    hot = each.union(texts.select(F.explode("twice").alias("a")))
-    bitmap = _bitmap(hot.select(_position("a").alias("p")))
-    low, high = rows.filter(F.col("id") != _NULL).agg(F.min("id"), F.max("id")).first()
-    cuts = [] if low is None else [low + (high - low) * k // batches for k in range(1, batches)]
-    remove(rows)
-    found = written(_candidate_windows(docs, bitmap, cuts), "lsm-windows", ["batch"])
-    index, again = Index(fanout), None
-    for k in range(len(cuts) + 1):
-        part = index.ingest(found.filter(F.col("batch") == k).select("h1", "h2", "id", "key", "start", "inner"))
-        again = part if again is None else again.unionByName(part)
-    for run in index.runs:
-        remove(run)
-    remove(found)
-    return marked, again
-
-
-def cut(docs: DataFrame, marked: DataFrame, starts: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and the kept words, for those that lose some) of every row."""
-    lists = starts.groupBy("id", "key").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    lists = written(lists, "lsm-lists")
-    hit = docs.sparkSession.sparkContext.broadcast(_bitmap(lists.select(_position(F.xxhash64("id")).alias("p"))))
-
-    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(hit.value, np.uint8)
-        for batch in batches:
-            keep = pa.array(_test(bits, np.array(batch.column(2)).view(np.uint64)))
-            got = batch.filter(keep)
-            if got.num_rows:
-                key = [xxhash.xxh64_intdigest(b" ".join(t.as_buffer().to_pybytes().split()) if t.is_valid else b"", 9) - (1 << 63) for t in got.column(1).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([got.column(0), pa.array(key, pa.int64()), got.column(1)], names=["id", "key", "text"])
-
-    texts = _plain(docs).withColumn("h", F.xxhash64("id")).mapInArrow(losing, "id long, key long, text string").dropDuplicates(["id", "key"])
+    own = marked.filter("inner is not null and not copy").select("id", "key", "inner")
+    losing = segments.select("id").union(own.select("id")).distinct()
+    # passages
+    asked = segments.groupBy("id0", "s0", "n").agg(F.count("*").alias("n_asked"))
+    wanted = written(asked.groupBy("id0").agg(F.collect_list(F.struct("s0", "n")).alias("parts")), "lsm-wanted")
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, column=1):
+            ids, s, n, passages = [], [], [], []
+            for doc, words, parts in zip(batch.column(0).to_pylist(), _words(batch.column(1)), batch.column(2).to_pylist()):
+                for p in parts:
+                    ids.append(doc), s.append(p["s0"]), n.append(p["n"])
+                    passages.append(b" ".join(words[p["s0"] : p["s0"] + p["n"] + WINDOW - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(passages, pa.binary())], names=["id0", "s0", "n", "passage"])
+
+    lent = hit_rows(_plain(docs if corpus is None else corpus), "id", wanted.select(F.col("id0").alias("id"))).join(wanted.withColumnRenamed("id0", "id"), "id").select("id", "text", "parts")
+    lent = lent.mapInArrow(lend, "id0 long, s0 int, n int, passage binary").distinct().groupBy("id0", "s0", "n").agg(F.collect_list("passage").alias("passages"))
+    lent = written(lent.join(asked, ["id0", "s0", "n"]).select("id0", "s0", F.col("n").alias("size"), "passages", F.col("n_asked").alias("n")), "lsm-lent")
+    met = hot_join(segments.withColumnRenamed("n", "size"), lent, ["id0", "s0", "size"], segments.count())
+    lists = met.groupBy("id").agg(F.collect_list(F.struct("s", F.col("size").alias("n"), "passages")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed, kept = [], []
-            for text, at in zip(batch.column(2).cast(pa.binary()), batch.column(3)):
-                words = text.as_buffer().to_pybytes().split()
+        for batch in slices(batches, column=1):
+            keys, removed, sha, left = [], [], [], []
+            for words, parts, inner in zip(_words(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                key = _key(b" ".join(words))
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = at.values.to_numpy(zero_copy_only=False)
-                edge[at] += 1
-                edge[at + WINDOW] -= 1
+                starts = {s for i in inner or [] if i["key"] == key for s in i["inner"]}
+                for p in parts or []:
+                    mine = words[p["s"] : p["s"] + p["n"] + WINDOW - 1]
+                    for passage in p["passages"]:
+                        theirs = passage.split(b" ")
+                        if mine == theirs:
+                            starts.update(range(p["s"], p["s"] + p["n"]))
+                        else:  # another text of that id, or two windows of one fingerprint
+                            starts.update(p["s"] + i for i in range(len(mine) - WINDOW + 1) if mine[i : i + WINDOW] == theirs[i : i + WINDOW])
+                for s in starts:
+                    edge[s] += 1
+                    edge[s + WINDOW] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "key", "n_removed", "kept_sha", "kept"])
+                kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()])
+                keys.append(key), removed.append(int(gone.sum())), sha.append(hashlib.sha256(kept).digest()), left.append(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), pa.array(left, pa.binary()).cast(pa.string())], names=["id", "key", "n_removed", "kept_sha", "kept"])
 
-    changed = texts.join(lists, ["id", "key"]).select("id", "key", "text", "starts").mapInArrow(run, "id long, key long, n_removed long, kept_sha string, kept string")
+    repeats = own.groupBy("id").agg(F.collect_set(F.struct("key", "inner")).alias("inner"))
+    texts = hit_rows(_plain(docs), "id", losing).join(losing, "id", "left_semi").join(lists, "id", "left").join(repeats, "id", "left")
+    changed = texts.select("id", "text", "parts", "inner").mapInArrow(run, "id long, key long, n_removed long, kept_sha binary, kept string").dropDuplicates(["id", "key"])
     whole = marked.join(changed, ["id", "key"], "left")
-    empty = hashlib.sha256(b"").hexdigest()
-    pick = lambda copy, lost, own: F.when(F.col("copy"), copy).otherwise(F.coalesce(lost, own))
+    pick = lambda copy, lost, mine: F.when(F.col("copy"), copy).otherwise(F.coalesce(lost, mine))
     return whole.select(
         F.when(F.col("id") != _NULL, F.col("id")).alias("doc_id"), "n_words",
         pick(F.col("n_words"), F.col("n_removed"), F.lit(0).cast("long")).alias("n_removed"),
-        pick(F.lit(empty), F.col("kept_sha"), F.col("sha")).alias("kept_sha256"),
+        pick(F.lit(hashlib.sha256(b"").hexdigest()), F.lower(F.hex("kept_sha")), F.lower(F.hex("sha"))).alias("kept_sha256"),
         pick(F.lit(""), F.col("kept"), F.lit(None).cast("string")).alias("kept_words"),
     )
 
 
-def deduplicate(docs: DataFrame, batches: int = 4, fanout: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_words (null where nothing is removed) of every row."""
-    marked, starts = repeated_windows(docs, batches, fanout)
-    return cut(docs, marked, starts)
+def _bounds(docs: DataFrame, batches: int) -> list[int]:
+    """Ids that part the rows (not the range of ids) into batches of about equal number."""
+    parts = [k / batches for k in range(1, batches)]
+    got = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), parts, 1000)).first()[0] if parts else None
+    return sorted(set(got or []))
+
+
+def deduplicate(docs: DataFrame, batches: int = 3, fanout: int = 2, folder: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_words (null where nothing is removed) of every row.
+
+    folder: an index that stays; documents that it holds count as earlier, and ``corpus``
+    must hold them beside docs.  Without it the index goes when its batches are done.
+    """
+    index, bounds = Index(docs.sparkSession, folder, fanout), _bounds(docs, batches)
+    marked = segments = None
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = docs if low is None else docs.filter(id_ > low)
+        one, two = index.ingest(part if high is None else part.filter(id_ <= high))
+        marked = one if marked is None else marked.unionByName(one)
+        segments = two if segments is None else segments.unionByName(two)
+    index.close(forget=folder is None)
+    return cut(docs, marked, segments, corpus)

@@ -39,7 +39,7 @@ def test_against_brute_force(spark):
     docs += [(500 + i, docs[7][1]) for i in range(5)] + [(1, "a b c " * 30), (2, "b c a " * 9), (4, "x " * 24), (5, "y " * 24 + "z"), (900, None), (901, "é\x1c  " * 40), (6, " ".join(passages[3]))]
     df = spark.createDataFrame(docs, DOCS)
     assert rows(substring.deduplicate(df)) == brute(docs)
-    assert rows(substring.deduplicate(df, batches=7, fanout=1)) == brute(docs)
+    assert rows(substring.deduplicate(df, batches=3, fanout=1)) == brute(docs)
 
 
 def test_whole_table(spark):
@@ -52,3 +52,58 @@ def test_repeats_nulls_and_empty(spark):
     df = spark.createDataFrame([(5, text, 1), (5, text, 1), (None, text, 2)], "doc_id long, text string, start int")
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring.deduplicate(df).collect()) == [(0, 0), (5, 25), (5, 25)]
     assert substring.deduplicate(df.limit(0)).count() == 0
+
+
+def test_an_index_that_stays_goes_on(spark, tmp_path):
+    r = random.Random(9)
+    word = lambda: r.choice("abcdef") * r.randint(1, 6)
+    passages = [[word() for _ in range(r.choice([20, 33]))] for _ in range(4)]
+    docs = [(i, " ".join(sum([r.choice(passages) if r.random() < 0.4 else [word() for _ in range(12)] for _ in range(4)], []))) for i in range(30)]
+    docs += [(30, docs[3][1]), (31, docs[12][1])]
+    whole, folder, got = spark.createDataFrame(docs, DOCS), f"file://{tmp_path}/index", []
+    for low, high in ((0, 9), (10, 24), (25, 40)):
+        part = spark.createDataFrame([d for d in docs if low <= d[0] <= high], DOCS)
+        got += rows(substring.deduplicate(part, batches=1, folder=folder, corpus=whole))
+    assert sorted(got) == brute(docs)
+    index = substring.Index(spark, folder)
+    assert len(index.runs) == 2 and index.past("windows")[0].count() > 0
+    index.close()
+
+
+def test_history_is_merged_without_shuffle_or_sort(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(8)], DOCS)
+    index = substring.Index(spark, f"file://{tmp_path}/index", fanout=5)
+    for k in range(2):
+        index.ingest(docs.filter(f"doc_id % 2 = {k}"))
+    with substring._ordered(spark, index.buckets):
+        one, two = index.past("cold")
+        plan = one.hint("merge").join(two, "a")._jdf.queryExecution().executedPlan().toString()
+    index.close()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_windows_of_one_fingerprint_are_told_apart(spark, monkeypatch):
+    """With anchors and hashes of 2 bits most windows collide; words decide, and nothing clean goes."""
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice("abcdefgh") * 3 + str(r.randint(0, 99)) for _ in range(30))) for i in range(12)]
+    words = [t.split() for _, t in docs]
+    table = [{"id": i, "s": s, "n": 1, "id0": 0, "s0": 0} for i in range(1, 12) for s in range(3)]
+    segments = spark.createDataFrame(table, "id long, s int, n int, id0 long, s0 int")
+    marked = spark.createDataFrame([(d, substring._key(" ".join(w).encode()), len(w), hashlib.sha256(" ".join(w).encode()).digest(), False, None) for (d, _), w in zip(docs, words)], "id long, key long, n_words long, sha binary, copy boolean, inner array<long>")
+    got = substring.cut(spark.createDataFrame(docs, DOCS), marked, segments)
+    assert rows(got) == brute(docs) and all(x[2] == 0 for x in rows(got))
+
+
+def test_ids_that_clash_and_many_copies(spark):
+    r = random.Random(5)
+    base = [" ".join(f"v{r.randint(0, 400)}" for _ in range(45)) for _ in range(5)]
+    docs = [(7, base[0]), (7, base[1] + " " + base[4]), (8, base[0]), (9, base[1]), (7, base[0])] + [(100 + i, base[2]) for i in range(300)] + [(3, base[3] + " x " + base[3])]
+    assert rows(substring.deduplicate(spark.createDataFrame(docs, DOCS))) == brute(docs)
+
+
+def test_a_long_text_and_clashing_columns(spark):
+    r = random.Random(6)
+    long = " ".join(f"u{r.randint(0, 30)}" for _ in range(60_000))
+    docs = [(1, long), (2, "tail " + long[5000:9000])]
+    df = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "doc_id long, text string, id int, a int, inner string")
+    assert rows(substring.deduplicate(df)) == brute(docs)

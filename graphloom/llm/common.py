@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows and bytes of text, one row at least: what Python holds at once is bounded by them, whatever the session's batches are."""
     for batch in batches:
         text = batch.column(column).cast(pa.binary())
@@ -103,26 +104,21 @@ def bitmap(positions: DataFrame) -> bytes:
 
 
 def hit_rows(df: DataFrame, column: str, ids: DataFrame, invert: bool = False) -> DataFrame:
-    """Rows of df (a long and a text column among them) whose ``column`` may be among ids: all that are, and few others.
+    """Rows of df whose long ``column`` may be among ids: all that are, and few others; invert: the rows that surely aren't.
 
-    A fixed bitmap of hashes is what is broadcast, so most other rows are never shuffled;
-    a join decides on what is left.  invert: the rows that surely aren't.  A null is never hit.
+    A fixed bitmap of hashes is what is broadcast, and only hashes go to Python, so most
+    rows need no shuffle; a join decides on what is left.  A null is never hit.
     """
     shared = df.sparkSession.sparkContext.broadcast(bitmap(ids.filter(F.col(column).isNotNull()).select(bitmap_position(F.xxhash64(column)).alias("p"))))
-    order = df.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def may(positions: pd.Series) -> pd.Series:
         bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            p = batch.column(len(order))
-            p = pc.fill_null(p, 0).to_numpy()
-            hit = ((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1) & pc.is_valid(batch.column(len(order))).to_numpy(zero_copy_only=False)
-            got = batch.filter(pa.array(hit != invert))
-            if got.num_rows:
-                yield got.select(list(range(len(order))))
-
-    place = F.when(F.col(column).isNotNull(), bitmap_position(F.xxhash64(column)))
-    return df.select(*[F.col(f"`{c}`") for c in order], place.alias("__place")).mapInArrow(run, df.schema)
+        p = positions.to_numpy()
+        return pd.Series((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    hit = F.col(column).isNotNull() & may(bitmap_position(F.xxhash64(F.col(column).cast("long"))))
+    return df.filter(~hit if invert else hit)
 
 
 def sum_of(array: Column) -> Column:

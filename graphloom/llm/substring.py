@@ -51,6 +51,8 @@ from .common import delete, hit_rows, remove, shared_dir, slices, written
 WINDOW, GRAM = 20, 6
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NULL = -(1 << 63)
+#: Copies of a batch, (id, key) each, that are broadcast; more meet the entries in a shuffle.
+BROADCAST_ROWS = 500_000
 LAYOUT = {
     "cold": ("a long, id long, s int, w array<int>", ["a"]),
     "hot": ("a long", ["a"]),
@@ -290,7 +292,8 @@ class Index:
         marked = hot_join(narrow, firsts, ["key", "sha"], number).select("id", "key", "n_words", "sha", (F.col("first").isNull() | (F.col("id") > F.col("first"))).alias("copy"))
         marked = written(marked.unionByName(rows.filter(F.col("n_words") < WINDOW).select("id", "key", "n_words", "sha", F.lit(False).alias("copy"))), "lsm-marked")
         copies = marked.filter("copy").select("id", "key").distinct()
-        own = written(long.join(copies, ["id", "key"], "left_anti").select("id", "key", "entries", "inner"), "lsm-own")
+        # entries aren't shuffled for the copies' sake while these are few
+        own = written(long.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["id", "key"], "left_anti").select("id", "key", "entries", "inner"), "lsm-own")
         inner = written(own.filter(F.size("inner") > 0).select("id", "key", "inner"), "lsm-inner")
         # anchors
         entries = own.select("id", F.inline("entries"))
@@ -338,8 +341,9 @@ class Index:
     def _compact(self) -> None:
         """Merge all runs into one.  Runs share no text and no window; cold entries whose anchor has turned hot go."""
         every = {kind: reduce(DataFrame.unionByName, self.past(kind)) for kind in LAYOUT}
-        every["cold"] = every["cold"].join(every["hot"], "a", "left_anti")
-        one = {kind: self._write(df.repartition(self.buckets, *LAYOUT[kind][1]), kind)[0] for kind, df in every.items()}
+        every = {kind: df.repartition(self.buckets, *LAYOUT[kind][1]) for kind, df in every.items()}
+        every["cold"] = every["cold"].join(every["hot"].hint("merge"), "a", "left_anti")
+        one = {kind: self._write(df, kind)[0] for kind, df in every.items()}
         gone, self.runs = self.runs, [one]
         self._commit()
         self.close()
@@ -378,7 +382,7 @@ def cut(docs: DataFrame, marked: DataFrame, segments: DataFrame, corpus: DataFra
                     passages.append(b" ".join(words[p["s0"] : p["s0"] + p["n"] + WINDOW - 1]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(passages, pa.binary())], names=["id0", "s0", "n", "passage"])
 
-    lent = hit_rows(_plain(docs if corpus is None else corpus), "id", wanted.select(F.col("id0").alias("id"))).join(wanted.withColumnRenamed("id0", "id"), "id").select("id", "text", "parts")
+    lent = hit_rows(_plain(docs if corpus is None else corpus), "id", wanted.select(F.col("id0").alias("id"))).join(wanted.withColumnRenamed("id0", "id").hint("merge"), "id").select("id", "text", "parts")
     lent = lent.mapInArrow(lend, "id0 long, s0 int, n int, passage binary").distinct().groupBy("id0", "s0", "n").agg(F.collect_list("passage").alias("passages"))
     lent = written(lent.join(asked, ["id0", "s0", "n"]).select("id0", "s0", F.col("n").alias("size"), "passages", F.col("n_asked").alias("n")), "lsm-lent")
     met = hot_join(segments.withColumnRenamed("n", "size"), lent, ["id0", "s0", "size"], segments.count())
@@ -408,7 +412,7 @@ def cut(docs: DataFrame, marked: DataFrame, segments: DataFrame, corpus: DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.binary()), pa.array(left, pa.binary()).cast(pa.string())], names=["id", "key", "n_removed", "kept_sha", "kept"])
 
     repeats = own.groupBy("id").agg(F.collect_set(F.struct("key", "inner")).alias("inner"))
-    texts = hit_rows(_plain(docs), "id", losing).join(losing, "id", "left_semi").join(lists, "id", "left").join(repeats, "id", "left")
+    texts = hit_rows(_plain(docs), "id", losing).join(losing.hint("merge"), "id", "left_semi").join(lists.hint("merge"), "id", "left").join(repeats.hint("merge"), "id", "left")
     changed = texts.select("id", "text", "parts", "inner").mapInArrow(run, "id long, key long, n_removed long, kept_sha binary, kept string").dropDuplicates(["id", "key"])
     whole = marked.join(changed, ["id", "key"], "left")
     pick = lambda copy, lost, mine: F.when(F.col("copy"), copy).otherwise(F.coalesce(lost, mine))

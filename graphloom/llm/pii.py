@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, written
+from .common import let, prefix_sums, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -90,8 +90,8 @@ def _starts(name: str) -> Column:
     return prefix_sums(F.zip_with(hit, F.slice(gap, F.lit(1), F.size(hit)), lambda h, g: (F.length(g) + F.length(h)).cast("long")))
 
 
-def _located(df: DataFrame, name: str) -> DataFrame:
-    """Column <name>_at: structs of a match with start, end and the words beside it."""
+def _located(df: DataFrame, name: str, beside: bool = True) -> DataFrame:
+    """Column <name>_at: structs of a match with start, end and, if asked for, the words beside it."""
     hit, gap = F.col(f"{name}_hit"), F.col(f"{name}_gap")
     df = df.withColumn(f"{name}_pre", F.when(F.size(hit) > 0, _starts(name)).otherwise(F.array().cast("array<long>")))
     word = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
@@ -103,8 +103,10 @@ def _located(df: DataFrame, name: str) -> DataFrame:
                 h.alias("value"),
                 (F.get(f"{name}_pre", i) + F.length(F.get(gap, i))).alias("start"),
                 (F.get(f"{name}_pre", i) + F.length(F.get(gap, i)) + F.length(h)).alias("end"),
-                word(F.regexp_extract(F.right(F.get(gap, i), F.lit(60)), r"(\S+)\s*$", 1)).alias("left"),
-                word(F.regexp_extract(F.left(F.get(gap, i + 1), F.lit(60)), r"^\s*(\S+)", 1)).alias("right"),
+                *([
+                    word(F.regexp_extract(F.right(F.get(gap, i), F.lit(60)), r"(\S+)\s*$", 1)).alias("left"),
+                    word(F.regexp_extract(F.left(F.get(gap, i + 1), F.lit(60)), r"^\s*(\S+)", 1)).alias("right"),
+                ] if beside else []),
             ),
         ),
     ).drop(f"{name}_pre", f"{name}_hit", f"{name}_gap")
@@ -210,41 +212,97 @@ def detect(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def _merged(spans: DataFrame) -> DataFrame:
-    """__cuts of each key: overlapping spans joined into one, of the kind of the longest, in order.
+_CUT = "array<struct<start:bigint,end:bigint,kind:int>>"
+BLOCK = 256
 
-    Kept as rows while they are merged; the list is bounded by the length of one document.
+
+def _running_max(ends: Column) -> Column:
+    """Of each element the greatest so far, itself included; in blocks, as prefix_sums."""
+    blocks = lambda e: F.transform(F.sequence(F.lit(0), ((F.size(e) - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(e, b * BLOCK + 1, F.lit(BLOCK))))
+    before = lambda m: F.transform(m, lambda _, b: F.array_max(F.slice(m, F.lit(1), b)))
+    inner = lambda e, pre: F.transform(e, lambda _, i: F.greatest(F.get(pre, (i / BLOCK).cast("int")), F.array_max(F.slice(e, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1))))
+    return let(ends, lambda e: let(blocks(e), lambda m: let(before(m), lambda pre: inner(e, pre))))
+
+
+def merged(spans: Column) -> Column:
+    """Spans of one text in order, overlapping ones as one, of the kind of the longest (the first kind on a tie)."""
+
+    def one(own: Column) -> Column:
+        longest = F.array_max(F.transform(own, lambda s: F.struct((s["end"] - s["start"]).alias("size"), (-s["kind"]).alias("kind"))))
+        return F.struct(own[0]["start"].alias("start"), F.array_max(F.transform(own, lambda s: s["end"])).alias("end"), (-longest["kind"]).cast("int").alias("kind"))
+
+    def islands(s: Column, top: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(top, i - 1) <= x["start"]), i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.transform(b, lambda at, k: one(F.slice(s, at + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - at))))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), s["kind"].cast("int").alias("kind"))))
+    whole = let(ordered, lambda s: let(_running_max(F.transform(s, lambda x: x["end"])), lambda top: islands(s, top)))
+    return F.when(F.size(spans) > 0, whole).otherwise(F.array().cast(_CUT))
+
+
+def cut(text: Column, cuts: Column, values: Column | None = None) -> Column:
+    """text with every cut replaced by <KIND>; values: structs (n, value, kind) that go elsewhere too, where they stand as whole tokens.
+
+    The text is taken apart BLOCK cuts at a time, so that a long text of many cuts isn't
+    read from its beginning for each.
     """
-    row = Window.partitionBy("__id", "__hash").orderBy("start", "end")
-    before = F.max("end").over(row.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((before <= F.col("start")).cast("long"), F.lit(1))
-    spans = spans.withColumn("__new", new).withColumn("__n", F.sum("__new").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    longest = F.max(F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("kind")).alias("kind")))
-    whole = spans.groupBy("__id", "__hash", "__n").agg(F.min("start").alias("start"), F.max("end").alias("end"), (-longest["kind"]).alias("kind"))
-    return whole.groupBy("__id", "__hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+
+    def clean(gap: Column) -> Column:
+        if values is None:
+            return gap
+        quoted = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+        return F.aggregate(values, gap, lambda t, s: F.regexp_replace(t, quoted(s["value"]), F.get(names, s["kind"])))
+
+    def block(b: Column) -> Column:
+        own = F.slice(cuts, b * BLOCK + 1, F.lit(BLOCK))
+        begin = F.coalesce(F.get(cuts, b * BLOCK - 1)["end"], F.lit(0).cast("long"))
+        end = F.element_at(own, -1)["end"]
+        piece = text.substr((begin + 1).cast("int"), (end - begin).cast("int"))
+
+        def at(own: Column, begin: Column, piece: Column) -> Column:
+            def each(c: Column, i: Column) -> Column:
+                left = F.coalesce(F.get(own, i - 1)["end"], begin)
+                return F.concat(clean(piece.substr((left - begin + 1).cast("int"), (c["start"] - left).cast("int"))), F.get(names, c["kind"]))
+
+            return F.array_join(F.transform(own, each), "")
+
+        return let(own, lambda o: let(begin, lambda s: let(piece, lambda p: at(o, s, p))))
+
+    last = F.coalesce(F.element_at(cuts, -1)["end"], F.lit(0).cast("long"))
+    heads = F.transform(F.sequence(F.lit(0), ((F.size(cuts) - 1) / BLOCK).cast("int")), block)
+    return F.when(F.size(cuts) > 0, F.concat(F.array_join(heads, ""), clean(text.substr((last + 1).cast("int"), F.length(text))))).otherwise(text)
+
+
+#: Documents with added spans that are broadcast; beyond that they meet the texts in a shuffle.
+BROADCAST_DOCS = 100_000
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
-    """docs with every span replaced by <KIND>; other columns, null texts and row counts stay.
+    """docs with every span of ``detect`` replaced by <KIND>; other columns, null texts and row counts stay.
 
-    Base and added spans that overlap are cut as one; the offsets are those of the text as it was.
+    Base and added spans that overlap are cut as one, at the offsets of the text as it was.
+    An added value that stands elsewhere in its document as a whole token goes there too.
+    Texts go through one narrow pass, which finds the base spans again, and aren't
+    shuffled: the few documents with added spans are broadcast, if BROADCAST_DOCS bounds them.
     """
     base = written(base_spans(docs), "pii-base")
-    added = written(discover(base, **options), "pii-added")
-    plain = ("__id", "__hash", "kind", "start", "end")
-    seeds = base.select("__id", "__hash", F.explode("spans").alias("s")).select("__id", "__hash", "s.kind", "s.start", "s.end")
-    cuts = _merged(seeds.unionByName(added.select(*plain)).distinct())
-    # an added value that also stands inside other tokens of its document goes there too, longest first
-    also = added.groupBy("__id", "__hash").agg(F.array_sort(F.collect_set(F.struct((-F.length("value")).alias("n"), "value", "kind"))).alias("__also"))
-    df = _match(_keys(docs), _match(cuts, also))
-    text, names = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    values = F.coalesce("__also", F.array().cast("array<struct<n:int,value:string,kind:int>>"))
-    clean = lambda gap: F.aggregate(values, gap, lambda t, s: F.replace(t, s["value"], F.get(names, s["kind"])))
-
-    def piece(c: Column, i: Column) -> Column:
-        begin = F.coalesce(F.get("__cuts", i - 1)["end"], F.lit(0)).cast("int")
-        return F.concat(clean(text.substr(begin + F.lit(1), c["start"].cast("int") - begin)), F.get(names, c["kind"]))
-
-    tail = clean(text.substr(F.element_at("__cuts", -1)["end"].cast("int") + F.lit(1), F.length(text)))
-    whole = F.concat(F.array_join(F.transform("__cuts", piece), ""), tail)
-    return df.withColumn("text", F.when(F.col("__cuts").isNotNull(), whole).otherwise(text)).select(docs.columns)
+    added = written(_by_row(discover(base, **options)), "pii-added")
+    few = added.count() <= BROADCAST_DOCS
+    mine = added.withColumnsRenamed({"__id": "__id2", "__hash": "__hash2", "added": "__added"})
+    # one struct column: no name of docs can clash with the columns worked with
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    df = packed.select("__row", F.col("__row")["doc_id"].alias("__id"), F.xxhash64(F.col("__row")["text"]).alias("__hash"), F.coalesce(F.col("__row")["text"].cast("string"), F.lit("")).alias("__text"))
+    df = df.join(F.broadcast(mine) if few else mine, (F.col("__hash") == F.col("__hash2")) & F.col("__id").eqNullSafe(F.col("__id2")), "left").drop("__id2", "__hash2")
+    for n, kind in enumerate(KINDS):
+        df = _located(_pieces(df, kind, PATTERNS[kind], _maybe(kind, F.col("__text"))), kind, beside=False)
+        df = df.withColumn(f"{kind}_at", F.filter(f"{kind}_at", _span_test(kind)))
+    plain = lambda s, n: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), (F.lit(n) if n is not None else s["kind"]).cast("int").alias("kind"))
+    of_kind = lambda n: lambda s: plain(s, n)
+    own = [F.transform(f"{k}_at", of_kind(n)) for n, k in enumerate(KINDS)]
+    more = F.coalesce(F.transform("__added", lambda s: plain(s, None)), F.array().cast(_CUT))
+    df = df.select("__row", "__text", "__added", merged(F.concat(*own, more)).alias("__cuts"))
+    also = F.array_sort(F.array_distinct(F.transform("__added", lambda s: F.struct((-F.length(s["value"])).alias("n"), s["value"].alias("value"), s["kind"].alias("kind")))))
+    text = F.when(F.col("__added").isNull(), cut(F.col("__text"), F.col("__cuts"))).otherwise(cut(F.col("__text"), F.col("__cuts"), also))
+    text = F.when(F.col("__row")["text"].isNotNull(), text)
+    return df.select(*[(text if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns])

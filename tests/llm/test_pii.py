@@ -86,3 +86,36 @@ def test_redact_cuts_overlapping_spans_as_one(spark):
     assert got[100] == "é😀 tel <PHONE>, <IP> end"
     assert got[101] == "please call cell <PHONE> today, me.743/555/<EMAIL> or <PHONE>, ok"
     assert got[102] == "<EMAIL>" and got[103] is None and got[104] == "<IP>" + " <IP>" * 3000
+
+
+def test_redact_is_detect_cut_once(spark):
+    """Base and added spans of detect, merged and cut by plain Python, columns that clash included."""
+    seeds = [(i, f"please call cell +1 (743) 555-{1000 + i} today ok") for i in range(12)]
+    texts = ["bob7435559999x.smith@mail.com please call cell 7435559999x today ok A7435559999xB", "please call cell (743) 555-1234 today ok a@b.cc1.2.3.4", "", None, "no data", "10.0.0.1 " * 700 + "x"]
+    docs = spark.createDataFrame([(*d, 1, 2, 3, "t") for d in seeds + [(50 + i, t) for i, t in enumerate(texts)]], "doc_id long, text string, added int, __id int, email_hit int, __row string")
+    want = {}
+    for r in pii.detect(docs).collect():
+        spans = sorted((int(s), int(e), pii.KINDS.index(k)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x))
+        cuts = []
+        for s, e, k in spans:
+            if cuts and s < cuts[-1][1]:
+                cuts[-1][1] = max(cuts[-1][1], e)
+                cuts[-1][2] = max(cuts[-1][2], (e - s, -k))
+            else:
+                cuts.append([s, e, (e - s, -k)])
+        want[r.doc_id] = cuts
+    red = pii.redact(docs)
+    assert red.columns == docs.columns
+    source = {r.doc_id: r.text for r in docs.collect()}
+    for r in red.collect():
+        text, out, at = source[r.doc_id], "", 0
+        if text is None:
+            assert r.text is None
+            continue
+        for s, e, (_, k) in want[r.doc_id]:
+            out, at = out + text[at:s] + f"<{pii.KINDS[-k].upper()}>", e
+        assert r.text == out + text[at:], r.doc_id
+        assert (r.added, r["__id"], r.email_hit, r["__row"]) == (1, 2, 3, "t")
+    got = {r.doc_id: r.text for r in red.collect()}
+    assert got[50] == "<EMAIL> please call cell <PHONE> today ok A7435559999xB"
+    assert pii.redact(docs.limit(0)).count() == 0

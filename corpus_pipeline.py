@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ranking.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-#: Five-word shingles; candidates differ in at most 8 of 64 bits and share 0.8 of their shingles.
-NEAR = {"width": 5, "radius": 8, "segments": 3, "least": 0.8}
+#: Five-word shingles; candidates differ in at most 64 of 320 bits, meet in a segment of 20, and share 0.8 of their shingles.
+NEAR = {"width": 5, "parts": 5, "radius": 64, "least": 0.8}
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

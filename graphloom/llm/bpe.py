@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -31,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as LibraryTokenizer
 
-from .common import small_batches
+from .common import slices
 
 OLD = unicodedata.ucd_3_2_0.category
-MEMORY = 250_000
+#: Words that each of the two tables of a worker remembers.
+MEMORY = 150_000
 
 
 def _byte_letters() -> list[str]:
@@ -44,6 +47,20 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+@cache
+def YOUNG() -> re.Pattern:
+    """Characters that Python's Unicode tables lack: the library, which follows newer ones, normalises texts that hold any."""
+    ranges, begin = [], None
+    for c in range(0x110001):
+        young = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if young and begin is None:
+            begin = c
+        elif not young and begin is not None:
+            ranges.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
@@ -109,7 +126,7 @@ class Automaton:
                 if part not in self.left:
                     break
                 part, until = self.left[part]
-            if len(self.known) > 500_000:
+            if len(self.known) > 300_000:
                 self.known.clear()
             self.known[key] = got
         return got
@@ -176,10 +193,12 @@ class Tokenizer:
         self.table = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
         self.back = str.maketrans({c: chr(b) for b, c in enumerate(_byte_letters())})
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.rule = LibraryTokenizer.from_file(path).pre_tokenizer
+        library = LibraryTokenizer.from_file(path)
+        self.rule, self.normalizer = library.pre_tokenizer, library.normalizer
         self.memory = memory
-        self.cache: dict[str, tuple[str, str, int]] = {}
-        self.seen: dict[str, tuple[str, str, int]] = {}
+        self.cache: dict[str, tuple[str, int]] = {}
+        self.seen: dict[str, tuple[str, int]] = {}
+        self.labels = {str(i): t for t, i in model["vocab"].items()} | {str(i): t for t, i in self.added.items()}
 
     def _words(self, stretch: str) -> list[str]:
         """The pre-split.  Characters younger than Unicode 3.2 go by the library's own rule: its tables and regex's differ on new ones."""
@@ -187,20 +206,20 @@ class Tokenizer:
             return self.words.findall(stretch)
         return [w.translate(self.back).encode("latin-1").decode() for w, _ in self.rule.pre_tokenize_str(stretch)]
 
-    def _word(self, word: str) -> tuple[str, str, int]:
+    def _word(self, word: str) -> tuple[str, int]:
         plain = word.isascii() and word.isprintable()  # such characters stand for themselves
         tokens = self.automaton.encode(word if plain else word.encode().decode("latin-1").translate(self.table))
         vocab = self.automaton.vocab
         if len(self.seen) >= self.memory:
             self.seen.clear()
-        got = self.seen[word] = (" ".join([str(vocab[t]) for t in tokens]), " ".join(tokens), len(tokens))
+        got = self.seen[word] = (" ".join([str(vocab[t]) for t in tokens]), len(tokens))
         return got
 
-    def _stretch(self, stretch: str) -> tuple[str, str, int]:
-        """(ids, tokens, number) of a stretch without blanks; no rule of the pre-split looks across a blank."""
+    def _stretch(self, stretch: str) -> tuple[str, int]:
+        """(ids, number) of a stretch without blanks; no rule of the pre-split looks across a blank."""
         seen = self.seen
         parts = [seen.get(w) or self._word(w) for w in ([stretch] if stretch.isascii() and stretch.isalpha() else self._words(stretch))]
-        got = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
+        got = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]))
         if len(self.cache) >= self.memory:
             self.cache.clear()
         self.cache[stretch] = got
@@ -208,33 +227,43 @@ class Tokenizer:
 
     def split(self, text: str) -> list[str]:
         """Normalise a part without added tokens and split it at blanks."""
-        if not text.isascii():
+        if text.isascii():
+            text = text.lower()
+        elif YOUNG().search(text):
+            text = self.normalizer.normalize_str(text)
+        else:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # lower() makes a final sigma of some; the library maps characters singly
-        text = text.lower()
+            text = text.lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return regex.split(r"\s+", text)  # blanks to str.split(), but not to the rules
         return text.split()
 
-    def pieces(self, text: str) -> list[tuple[str, str, int]]:
-        """(ids, tokens, number) of each stretch that has any."""
+    def pieces(self, text: str) -> list[tuple[str, int]]:
+        """(ids, number) of each stretch that has any."""
         out, get, stretch = [], self.cache.get, self._stretch
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                out.append((str(self.added[part]), part, 1))
+                out.append((str(self.added[part]), 1))
             else:
                 out += [get(w) or stretch(w) for w in self.split(part)]
-        return [x for x in out if x[2]]
+        return [x for x in out if x[1]]
+
+    def encoded(self, text: str) -> tuple[str, int]:
+        """Space-joined ids of a text, and their number."""
+        got = self.pieces(text)
+        return " ".join([p[0] for p in got]), sum([p[1] for p in got])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split(" ")]
+        return [int(i) for i in self.encoded(text)[0].split()]
+
+    def decoded(self, ids: str) -> str:
+        """The labels of the arcs that space-joined ids name, joined as the library does without a decoder."""
+        return " ".join(map(self.labels.__getitem__, ids.split()))
 
     def decode(self, ids: list[int]) -> str:
-        """Labels of the arcs, joined as the library does without a decoder."""
-        if not hasattr(self, "labels"):
-            self.labels = {i: t for t, i in self.automaton.vocab.items()} | {i: t for t, i in self.added.items()}
-        return " ".join(self.labels[i] for i in ids)
+        return self.decoded(" ".join(map(str, ids)))
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -247,38 +276,31 @@ def load(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (space-joined), n_tokens, decoded for every row."""
-    small_batches(docs.sparkSession)
+def _mapped(docs: DataFrame, path: str, row, columns: str) -> DataFrame:
+    """doc_id and the columns (n_tokens and strings) that row(tokenizer, text) gives for every row."""
+    names = ["doc_id", *[c.split()[0] for c in columns.split(", ")]]
+    types = [pa.int64() if c.endswith(" long") else pa.string() for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch.column(1):
-                got = tokenizer.pieces(text.as_py() or "")
-                n.append(sum([p[2] for p in got]))
-                ids.append(" ".join([p[0] for p in got]))
-                decoded.append(" ".join([p[1] for p in got]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
+        for batch in slices(batches):
+            rows = [row(tokenizer, text.as_py() or "") for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids string, n_tokens long, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {columns}")
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids (space-joined) for every row."""
+    return _mapped(docs, path, lambda tokenizer, text: tokenizer.encoded(text)[::-1], "n_tokens long, ids string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: hashed where the ids are made, so that they are never sent on."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids are decoded and hashed where they are made, so that they are never sent on."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        for batch in batches:
-            n, ids, decoded = [], [], []
-            for text in batch.column(1):
-                got = tokenizer.pieces(text.as_py() or "")
-                n.append(sum([p[2] for p in got]))
-                ids.append(sha([p[0] for p in got]))
-                decoded.append(sha([p[1] for p in got]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def row(tokenizer: Tokenizer, text: str) -> tuple[int, str, str]:
+        ids, n = tokenizer.encoded(text)
+        return n, sha(ids), sha(tokenizer.decoded(ids))
+
+    return _mapped(docs, path, row, "n_tokens long, ids_sha256 string, decoded_sha256 string")

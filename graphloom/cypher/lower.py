@@ -282,7 +282,7 @@ class Lowering:
 
     def varlen(self, frame: Frame, a: str, b: str, p: NodePattern, r: RelPattern, var: str, direction: str, reverse: bool, taken) -> Frame:
         low, high = r.hops
-        high = VARLEN_CAP if high is None else min(high, VARLEN_CAP)
+        high = VARLEN_CAP if high is None else high  # only an open end is capped
         step = self.edges(r, "__e", direction)
         step = self.props_filter(Frame(step, {"__e": Var("rel", self.graph.edge_types(r.types))}), "__e", r.props).df
         step = step.select(F.col("`__e$from`").alias("__from"), F.col("`__e$to`").alias("__to"), F.struct(F.col("`__e$id`").alias("id"), F.col("`__e$src`").alias("src"), F.col("`__e$dst`").alias("dst"), F.col("`__e$type`").alias("type")).alias("__edge"))
@@ -295,6 +295,10 @@ class Lowering:
             level = level.withColumns({f"{var}$list": F.concat(path, F.array("__edge")), f"{var}$nodes": F.concat(F.col(f"`{var}$nodes`"), F.array("__to")), "__at": F.col("__to")}).drop("__from", "__to", "__edge")
             if k >= low:
                 found.append(level)
+            if k % 5 == 0 and k < high:
+                level = level.checkpoint() if self.spark.sparkContext.getCheckpointDir() else level
+                if level.isEmpty():
+                    break
         df = reduce(DataFrame.union, found) if found else level.limit(0)
         if reverse:
             df = df.withColumns({f"{var}$list": F.reverse(path), f"{var}$nodes": F.reverse(F.col(f"`{var}$nodes`"))})
@@ -309,7 +313,7 @@ class Lowering:
     def shortest(self, frame: Frame, a: str, b: str, p: NodePattern, r: RelPattern, var: str, direction: str, pattern: PathPattern, reverse: bool) -> Frame:
         """Level by level from each distinct start; a pair leaves at the first level that reaches its end."""
         low, high = r.hops
-        high = VARLEN_CAP if high is None else min(high, VARLEN_CAP)
+        high = VARLEN_CAP if high is None else high  # only an open end is capped
         if b not in frame.scope:
             # every end reachable: pairs are found by the search itself
             frame = self.bind_node(frame, b, p)

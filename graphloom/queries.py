@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
+from .functions.keywords import STOPWORDS
 from .operators import centrality, entities, groups, memory, rag, search, traverse
 from .plans.testgraph import star
 
@@ -68,21 +69,21 @@ CYPHER: dict[str, tuple[str, str]] = {
 }
 
 
-def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A graph of suppliers (negative) and parts of one brand, for algorithms: nodes id, edges src, dst, weight."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_brand = 'Brand#2'").select("p_partkey")
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+def _supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole graph of suppliers (negative) and the parts that their line items hold: nodes id, edges src, dst, weight."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     edges = line.select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     edges = edges.select(F.xxhash64("src", "dst").alias("id"), "src", "dst", F.lit("S").alias("type"), F.lit(1.0).alias("weight"))
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return nodes.withColumn("labels", F.array(F.lit("N"))), edges
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations that trade: customer's nation -> supplier's nation on orders above a total."""
+def _busy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations that trade much: customer's nation -> supplier's nation where all orders have more line items than the mean pair."""
     r = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    rows = r("orders").filter("o_totalprice > 150000 and o_orderkey % 7 = 0").join(r("customer"), F.col("o_custkey") == F.col("c_custkey")).join(r("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(r("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = rows.filter("(c_nationkey * 31 + s_nationkey * 17) % 9 = 0").select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).distinct()
+    rows = r("orders").join(r("customer"), F.col("o_custkey") == F.col("c_custkey")).join(r("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(r("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    counted = rows.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("k"))
+    pairs = counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("pairs"), F.sum("k").alias("total")))).filter("k * pairs > total")  # one row beside at most 625
     edges = pairs.select((F.col("src") * 100 + F.col("dst")).alias("id"), "src", "dst", F.lit("T").alias("type"), F.lit(1.0).alias("weight"))
     return r("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(F.lit("N")).alias("labels"), F.col("n_name").alias("name")), edges
 
@@ -96,7 +97,33 @@ def _traders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return r("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(F.lit("N")).alias("labels"), F.col("n_name").alias("name")), edges
 
 
-NATIONS_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_totalprice > 150000 AND o_orderkey % 7 = 0 AND (c_nationkey * 31 + s_nationkey * 17) % 9 = 0), n AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
+_PAIRS = "SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*) AS k FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"
+_NATIONS = "n AS (SELECT n_nationkey::BIGINT AS id FROM nation)"
+BUSY_SQL = f"WITH RECURSIVE q AS ({_PAIRS}), e AS (SELECT src, dst FROM q WHERE k * (SELECT count(*) FROM q) > (SELECT sum(k) FROM q)), {_NATIONS}"
+TRADERS_SQL = f"WITH RECURSIVE e AS (SELECT src, dst FROM ({_PAIRS})), {_NATIONS}"
+SUPPLY_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst FROM lineitem), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+
+
+def _pagerank_sql(graph: str, rounds: int, teleport: str, keep: str = "") -> str:
+    """Unrolled rounds over e and n; teleport: a node's share of what is handed out anew."""
+    steps = f", o AS (SELECT src, count(*) AS k FROM e GROUP BY 1), v AS (SELECT id, {teleport} AS tele FROM n), p0 AS (SELECT id, tele AS s FROM v)"
+    for i in range(1, rounds + 1):
+        steps += f", p{i} AS (SELECT v.id, 0.15 * tele + 0.85 * (coalesce(f.x, 0) + tele * (SELECT coalesce(sum(s), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM o))) AS s FROM v LEFT JOIN (SELECT e.dst AS id, sum(p.s / o.k) AS x FROM e JOIN p{i - 1} p ON p.id = e.src JOIN o ON o.src = e.src GROUP BY 1) f ON f.id = v.id)"
+    return f"{graph}{steps} SELECT id AS node, round(s, 6) AS score FROM p{rounds}{keep}"
+
+
+def _normal_sql(text: str) -> str:
+    return f"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def _bm25_sql(query: str, k: int) -> str:
+    """Common tables c, s and f (node, score: the k best) of a query whose trigrams don't overlap themselves."""
+    grams = search.query_grams(query)
+    tf = ", ".join(f"(length(t) - length(replace(t, '{g}', ''))) // 3 AS f{i}" for i, g in enumerate(grams))
+    df = ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(grams)))
+    score = " + ".join(f"ln(1 + (n - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a))" for i in range(len(grams)))
+    every = " AND ".join(f"f{i} > 0" for i in range(len(grams)))
+    return f"c AS (SELECT doc_id AS id, greatest(length(t) - 2, 0) AS dl, {tf} FROM (SELECT doc_id, {_normal_sql("coalesce(text, '')")} AS t FROM documents)), s AS (SELECT count(*) AS n, avg(dl) AS a, {df} FROM c), f AS (SELECT id AS node, {score} AS score FROM c, s WHERE {every} ORDER BY score DESC, node LIMIT {k})"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +139,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
 
 
-def _graph(build, source=_nations):
+def _graph(build, source=_busy):
     return lambda spark, sf_dir: _rounded(build(*source(spark, sf_dir)))
 
 
@@ -130,12 +157,14 @@ def _turns(spark, sf_dir):
 
 def _people(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return c.filter("c_nationkey < 3").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("type"))
+    # the type narrows blocks: customers of a nation, a segment and a band of balances
+    kind = F.concat_ws("-", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 200))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), kind.alias("type"))
 
 
 def _weighted(spark, sf_dir):
-    nodes, edges = _nations(spark, sf_dir)
-    return traverse.reachable(nodes, edges.withColumn("weight", F.col("id") % 13 + 1.0), 3, 20.0).select("node", "cost")
+    nodes, edges = _supply(spark, sf_dir)
+    return traverse.reachable(nodes, edges.withColumn("weight", (F.col("dst") - 1 - F.col("src")) % 13 + 1.0), -2, 20.0, direction="both").select("node", "cost")
 
 
 def _points(spark, sf_dir):
@@ -155,34 +184,39 @@ def _hybrid(spark, sf_dir):
 
 
 BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pagerank": _graph(lambda n, e: centrality.pagerank(n, e, iterations=5, tolerance=0.0)),
+    "pagerank": _graph(lambda n, e: centrality.pagerank(n, e, iterations=5, tolerance=0.0), _supply),
     "pagerank_personalized": lambda s, d: (lambda n, e: _rounded(centrality.pagerank(n, e, iterations=4, tolerance=0.0, seeds=s.createDataFrame([(3, 1.0)], "id long, weight double"))))(*_traders(s, d)),
-    "wcc": _graph(groups.wcc, _trade), "scc": _graph(groups.scc), "triangles": _graph(centrality.triangles), "closeness": _graph(centrality.closeness), "betweenness": _graph(centrality.betweenness, _traders),
+    "wcc": _graph(groups.wcc, _supply), "scc": _graph(groups.scc), "triangles": _graph(centrality.triangles), "closeness": _graph(centrality.closeness), "betweenness": _graph(centrality.betweenness, _traders),
     "louvain": _graph(groups.louvain, _traders), "ricci_curvature": _graph(lambda n, e: groups.ricci(e), _traders),
-    "bfs": lambda s, d: traverse.bfs(_nations(s, d)[1], [3], 3), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_traders(s, d)[1], 3, 21),
-    "graph_expand": lambda s, d: traverse.expand(*_nations(s, d), [3], 2).select("node", "distance"),
+    "bfs": lambda s, d: traverse.bfs(_supply(s, d)[1], [-2], 3, direction="both"), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_traders(s, d)[1], 3, 21),
+    "graph_expand": lambda s, d: traverse.expand(*_busy(s, d), [3], 2).select("node", "distance"),
     "spatial_nearest": _points, "fts_bm25": lambda s, d: _rounded(search.fts(_docs(s, d), "license", 20)), "text_fuzzy": _fuzzy,
     "vector_query": lambda s, d: (lambda v, q: _rounded(search.vector_query(v, q, 10)))(*_vectors(s, d)), "hybrid_search": _hybrid,
     "keywords": lambda s, d: _rounded(search.keywords(_docs(s, d), 3), 4).select("id", "rank", "term", "score"),
-    "entity_candidates": lambda s, d: _rounded(entities.candidates(_people(s, d).filter("id < 400"), threshold=0.97), 6).select("a", "b", "score"),
+    "entity_candidates": lambda s, d: _rounded(entities.candidates(_people(s, d), threshold=0.97, max_pairs=10**8), 6).select("a", "b", "score"),
     "memory_facts": _facts, "memory_next": lambda s, d: memory.next_edges(_turns(s, d)),
     "rag_retrieve": lambda s, d: _rounded(rag.retrieve(*_traders(s, d), "NATION_3", k=2)[0]).select("node", "distance", "rank"),
     "extract_chunks": lambda s, d: rag.chunks(_docs(s, d)).select("id", "position", "offset", "length"),
 }
 
 BUILT_SQL: dict[str, str] = {
-    "bfs": NATIONS_SQL + ", w AS (SELECT 3::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN e ON src = node WHERE d < 3) SELECT node, min(d)::INTEGER AS distance FROM w GROUP BY node HAVING node <> 3",
-    "triangles": NATIONS_SQL + ", u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), k AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (a, b, c)) AS t, (SELECT count(*) FROM u WHERE id IN (a, b)) AS d FROM n) SELECT id AS node, t AS triangles, round(CASE WHEN d >= 2 THEN 2.0::DOUBLE * t / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM k",
-    "closeness": NATIONS_SQL + ", w AS (SELECT id AS s, id AS node, 0 AS d FROM n UNION SELECT s, dst, d + 1 FROM w JOIN e ON src = node AND src <> dst WHERE d < 12), m AS (SELECT s, node, min(d) AS d FROM w GROUP BY ALL) SELECT s AS node, round(coalesce(sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d END), 0), 6) AS score FROM m GROUP BY s",
-    "scc": NATIONS_SQL + ", w AS (SELECT id AS s, id AS node FROM n UNION SELECT s, dst FROM w JOIN e ON src = node), r AS (SELECT x.s AS node, min(x.node) AS root FROM w x JOIN w y ON x.s = y.node AND x.node = y.s GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM r",
-    "wcc": "WITH RECURSIVE e AS (SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#2'), s AS (SELECT DISTINCT a.src AS x, b.src AS y FROM e a JOIN e b ON a.dst = b.dst), w AS (SELECT src AS x, src AS y FROM e UNION SELECT w.x, s.y FROM w JOIN s ON w.y = s.x), r AS (SELECT x AS node, min(y) AS root FROM w GROUP BY 1), a AS (SELECT * FROM r UNION ALL SELECT dst, min(root) FROM e JOIN r ON src = node GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM a",
-    "pagerank": NATIONS_SQL + ", o AS (SELECT src, count(*) AS k FROM e GROUP BY 1)" + "".join(f", p{i} AS (" + ("SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS s FROM n" if i == 0 else f"SELECT n.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce((SELECT sum(p.s / o.k) FROM e JOIN p{i - 1} p ON p.id = e.src JOIN o ON o.src = e.src WHERE e.dst = n.id), 0) + (SELECT coalesce(sum(s), 0) FROM p{i - 1} WHERE id NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM n)) AS s FROM n") + ")" for i in range(6)) + " SELECT id AS node, round(s, 6) AS score FROM p5",
-    "reachable": NATIONS_SQL + ", w AS (SELECT 3::BIGINT AS node, 0.0::DOUBLE AS c UNION SELECT dst, c + (src * 100 + dst) % 13 + 1 FROM w JOIN e ON src = node WHERE c + (src * 100 + dst) % 13 + 1 <= 20) SELECT node, min(c) AS cost FROM w GROUP BY 1",
+    "bfs": SUPPLY_SQL + ", w AS (SELECT -2::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN b ON src = node WHERE d < 3) SELECT node, min(d)::INTEGER AS distance FROM w GROUP BY node HAVING node <> -2",
+    "triangles": BUSY_SQL + ", u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e WHERE src <> dst), t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b), k AS (SELECT id, (SELECT count(*) FROM t WHERE id IN (a, b, c)) AS t, (SELECT count(*) FROM u WHERE id IN (a, b)) AS d FROM n) SELECT id AS node, t AS triangles, round(CASE WHEN d >= 2 THEN 2.0::DOUBLE * t / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM k",
+    "closeness": BUSY_SQL + ", w AS (SELECT id AS s, id AS node, 0 AS d FROM n UNION SELECT s, dst, d + 1 FROM w JOIN e ON src = node AND src <> dst WHERE d < 12), m AS (SELECT s, node, min(d) AS d FROM w GROUP BY ALL) SELECT s AS node, round(coalesce(sum(CASE WHEN d > 0 THEN 1.0::DOUBLE / d END), 0), 6) AS score FROM m GROUP BY s",
+    "scc": BUSY_SQL + ", w AS (SELECT id AS s, id AS node FROM n UNION SELECT s, dst FROM w JOIN e ON src = node), r AS (SELECT x.s AS node, min(x.node) AS root FROM w x JOIN w y ON x.s = y.node AND x.node = y.s GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM r",
+    "wcc": "WITH RECURSIVE e AS (SELECT DISTINCT -1 - l_suppkey AS src, l_partkey AS dst FROM lineitem), s AS (SELECT DISTINCT a.src AS x, b.src AS y FROM e a JOIN e b ON a.dst = b.dst), w AS (SELECT src AS x, src AS y FROM e UNION SELECT w.x, s.y FROM w JOIN s ON w.y = s.x), r AS (SELECT x AS node, min(y) AS root FROM w GROUP BY 1), a AS (SELECT * FROM r UNION ALL SELECT dst, min(root) FROM e JOIN r ON src = node GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component FROM a",
+    "pagerank": _pagerank_sql(SUPPLY_SQL, 5, "1.0::DOUBLE / (SELECT count(*) FROM n)"),
+    "pagerank_personalized": _pagerank_sql(TRADERS_SQL, 4, "CASE WHEN id = 3 THEN 1.0::DOUBLE ELSE 0 END", " WHERE s > 0"),
+    "reachable": SUPPLY_SQL + ", w AS (SELECT -2::BIGINT AS node, 0.0::DOUBLE AS c UNION SELECT dst, c + (greatest(src, dst) - 1 - least(src, dst)) % 13 + 1 FROM w JOIN b ON src = node WHERE c + (greatest(src, dst) - 1 - least(src, dst)) % 13 + 1 <= 20) SELECT node, min(c) AS cost FROM w GROUP BY 1",
+    "memory_facts": "WITH l AS (SELECT o_custkey::VARCHAR AS subject, o_orderstatus AS object, strftime(o_orderdate, '%Y-%m-%d') AS ts, o_orderkey AS k FROM orders), c AS (SELECT *, lag(object) OVER (PARTITION BY subject ORDER BY ts, k) AS p FROM l) SELECT subject, 'STATUS' AS relation, object, ts AS valid_from, lead(ts) OVER (PARTITION BY subject ORDER BY ts, k) AS valid_until FROM c WHERE p IS NULL OR p <> object",
+    "fts_bm25": "WITH " + _bm25_sql("license", 20) + " SELECT node, round(score, 6) AS score FROM f",
+    "hybrid_search": "WITH " + _bm25_sql("the", 20) + ", v AS (SELECT vec_id AS node, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings ORDER BY score DESC, node LIMIT 20), a AS (SELECT node, row_number() OVER (ORDER BY score DESC, node) AS r FROM f WHERE score > 0), z AS (SELECT node, row_number() OVER (ORDER BY score DESC, node) AS r FROM v WHERE score > 0), j AS (SELECT node, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + z.r), 0) AS score, a.r AS x, z.r AS y FROM a FULL JOIN z USING (node)) SELECT node, round(score, 6) AS score, x::INTEGER AS \"ftsRank\", y::INTEGER AS \"vectorRank\", 'hybrid' AS mode FROM j ORDER BY j.score DESC, (x IS NOT NULL AND y IS NOT NULL) DESC, node LIMIT 10",
+    "keywords": f"WITH w AS (SELECT doc_id AS id, unnest(string_split({_normal_sql('text')}, ' ')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w WHERE length(term) > 1 AND term NOT IN ({', '.join(repr(x) for x in STOPWORDS)}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT id, term, tf * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS score FROM tf JOIN df USING (term)), k AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY score DESC, term))::INTEGER AS rank FROM r) SELECT id, rank, term, round(score, 4) AS score FROM k WHERE rank <= 3",
     "spatial_nearest": "SELECT s_suppkey AS node, round(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin((radians(s_suppkey % 170 - 85.0::DOUBLE) - radians(42.7::DOUBLE)) / 2), 2) + cos(radians(s_suppkey % 170 - 85.0::DOUBLE)) * cos(radians(42.7::DOUBLE)) * pow(sin((radians(s_suppkey * 7 % 360 - 180.0::DOUBLE) - radians(23.3::DOUBLE)) / 2), 2)))), 3) AS meters FROM supplier ORDER BY meters, node LIMIT 10",
     "text_fuzzy": "SELECT n_nationkey::BIGINT AS node, levenshtein(n_name, 'NATION_21') AS distance FROM nation WHERE levenshtein(n_name, 'NATION_21') <= 1",
     "vector_query": "SELECT vec_id AS node, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 10",
     "memory_next": "SELECT * FROM (SELECT conv_id * 65536 + turn AS src, lead(conv_id * 65536 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS dst FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL) WHERE dst IS NOT NULL",
-    "graph_expand": NATIONS_SQL + ", b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT 3::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN b ON src = node WHERE d < 2) SELECT node, min(d)::INTEGER AS distance FROM w GROUP BY 1",
+    "graph_expand": BUSY_SQL + ", b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT 3::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN b ON src = node WHERE d < 2) SELECT node, min(d)::INTEGER AS distance FROM w GROUP BY 1",
 }
 
 

@@ -111,3 +111,9 @@ def test_order_puts_nulls_last_then_first(spark, e):
 def test_whole_nodes_travel(e):
     (r,) = rows(e, "MATCH (p:Person) WITH collect(p) AS ps UNWIND ps AS q WITH q WHERE q.age = 41 RETURN q.name, q")
     assert r[0] == "Carol" and r[1].id == 3 and r[1].properties.age == 41
+
+
+def test_explicit_hop_bounds_hold(spark):
+    """Only an open upper bound is capped."""
+    engine = Engine(plain(spark, [(i, i + 1) for i in range(18)]))
+    assert rows(engine, "MATCH (a)-[r*16..17]->(b) RETURN count(*) AS n") == [(5,)]

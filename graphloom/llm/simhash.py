@@ -48,6 +48,8 @@ from .common import hit_rows, let, slices, written
 
 CHUNK = 1 << 16
 BROADCAST_IDS = 500_000
+#: Bytes of sets, counted as 2 KB at least, of one block of a class.
+BLOCK = 4 << 20
 
 
 def _remixed(h: np.ndarray, part: int) -> np.ndarray:
@@ -131,24 +133,86 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
 
 
 def wide_links(fps: DataFrame, parts: int, radius: int, bits: int = 20) -> DataFrame:
-    """Pairs a < b of fingerprints (fp, words) at most ``radius`` bits apart of which a segment is at most one bit apart."""
-    index, probe, mask = [], [], (1 << bits) - 1
+    """Pairs a < b of fingerprints (fp, words) at most ``radius`` bits apart of which a segment is at most one bit apart.
 
-    def near(n: int, reach: int):
-        """Places in table n of what is within reach; of two values one bit apart only the one with the 0 looks up."""
-        ball = _ball(bits, reach)
-        return lambda v: F.transform(F.filter(F.transform(ball, lambda x: v.bitwiseXOR(x)), lambda m: m >= v), lambda m: m + (n << bits))
-
-    for n, (p, shift) in enumerate((p, s) for p in range(parts) for s in range(0, 65 - bits, bits)):
+    Two such segments agree in their lower or in their upper half, so a fingerprint is sent
+    whole to one place for each half; who meets there is compared at once, and pairs of
+    random fingerprints, whose number grows with the square of the documents, are never
+    written or sent on.
+    """
+    half, mask, sent = bits // 2, (1 << bits) - 1, []
+    for n, (p, shift) in enumerate(_segments(parts, bits)):
         value = F.shiftrightunsigned(F.get("words", F.lit(p)), shift).bitwiseAND(F.lit(mask))
-        index.append(let(value, near(n, 0)))
-        probe.append(let(value, near(n, 1)))
-    table = fps.select(F.col("fp").alias("b"), F.explode(F.flatten(F.array(*index))).alias("place"))
-    wanted = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probe))).alias("place"))
-    pairs = wanted.join(table, "place").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda c: fps.select(F.col("fp").alias(c), F.col("words").alias(f"w{c}"))
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= radius).select("a", "b")
+        sent += [value.bitwiseAND(F.lit((1 << half) - 1)) + (2 * n << bits), F.shiftrightunsigned(value, half) + (2 * n + 1 << bits)]
+    words = [F.get("words", F.lit(p)).alias(f"w{p}") for p in range(parts)]
+    rows = fps.select(F.explode(F.array(*sent)).alias("place"), *words).repartition("place").sortWithinPartitions("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_places(batches):
+            for x, y in _meetings(group[:, 0], np.ascontiguousarray(group[:, 1:]), radius, bits):
+                pairs = [sorted((_name(v), _name(w))) for v, w in zip(x, y)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _segments(parts: int, bits: int) -> list[tuple[int, int]]:
+    """(part, shift) of each segment of a wide fingerprint."""
+    return [(p, s) for p in range(parts) for s in range(0, 65 - bits, bits)]
+
+
+def _whole_places(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows sorted by their first column, in arrays that hold all rows of the places in them."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.column_stack([c.to_numpy() for c in batch.columns])
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if last == 0 and held and held[-1][-1, 0] == rows[0, 0]:
+            held.append(rows)
+            continue
+        if last == 0 and held:
+            yield np.concatenate(held)
+        elif last:
+            yield np.concatenate([*held, rows[:last]])
+        held = [rows[last:].copy()]
+    if held:
+        yield np.concatenate(held)
+
+
+def _meetings(place: np.ndarray, words: np.ndarray, radius: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of both sides of each pair within radius that meets here in its first segment; a pair meets once in a segment."""
+    half, cuts = bits // 2, _segments(words.shape[1], bits)
+    segment, side = place >> bits + 1, place >> bits & 1
+    part, shift = np.array(cuts, np.int64).T
+    value = words[np.arange(len(words)), part[segment]] >> shift[segment] & (1 << bits) - 1
+    rest = np.where(side == 0, value >> half, value & (1 << half) - 1)  # what needn't agree
+    code = (place << bits) + rest
+    order = np.argsort(code)
+    code, rest, side, segment, words = code[order], rest[order], side[order], segment[order], words.view(np.uint64)[order]
+    for flip in [0, *[1 << b for b in range(max(half, bits - half))]]:
+        # equal segments meet by their lower half only; of two one bit apart, the one with the 0 looks up
+        at = np.flatnonzero(side == 0) if flip == 0 else np.flatnonzero(rest & flip == 0)
+        begin = at + 1 if flip == 0 else np.searchsorted(code, code[at] + flip)
+        number = np.searchsorted(code, code[at] + flip, "right") - begin
+        at, begin, number = at[number > 0], begin[number > 0], number[number > 0]
+        ends = np.cumsum(number)
+        done = 0
+        while done < len(at):
+            base = ends[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+            count = number[done:stop]
+            i = np.repeat(at[done:stop], count)
+            j = np.arange(len(i)) + np.repeat(begin[done:stop] - (ends[done:stop] - count - base), count)
+            apart = words[i] ^ words[j]
+            near = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= radius
+            i, j, apart = i[near], j[near], apart[near]
+            close = np.column_stack([np.bitwise_count(apart[:, p] >> np.uint64(s) & np.uint64((1 << bits) - 1)) <= 1 for p, s in cuts])
+            first = close.argmax(axis=1) == segment[i]
+            if first.any():
+                yield words[i[first]].view(np.int64), words[j[first]].view(np.int64)
+            done = stop
 
 
 def _ball(width: int, reach: int) -> Column:
@@ -176,10 +240,13 @@ def shingles(text: bytes | None, width: int) -> list[int]:
 
 
 def verified(docs: DataFrame, reps: DataFrame, near: DataFrame, width: int, least: float, parts: int = 1) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts share ``least`` of their shingles (Jaccard).
+    """Pairs (a, b) of near whose texts share ``least`` of their shingles (Jaccard), enough to give the classes that all such pairs give.
 
     Only texts on a pair are read into sets.  Their ids are broadcast up to
-    BROADCAST_IDS, beyond that joined by shuffle.
+    BROADCAST_IDS, beyond that joined by shuffle.  A group of k near copies has up to
+    k^2 pairs, so no pair takes a set along: sets and pairs go to a place for each class
+    of near, or for two blocks of a class of more than BLOCK bytes.  There a pair that
+    is joined already by pairs compared before it isn't compared, as it decides nothing.
     """
     ids = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select(F.col("rep").alias("id")).distinct()
     ids = written(ids, "simhash-ids")
@@ -192,9 +259,37 @@ def verified(docs: DataFrame, reps: DataFrame, near: DataFrame, width: int, leas
             yield pa.RecordBatch.from_arrays([pa.array([_name(fingerprint_words(t, width, parts)) for t in raw], pa.int64()), pa.array([shingles(t, width) for t in raw], pa.list_(pa.int64()))], names=["fp", "set"])
 
     sets = written(texts.select("text").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"]), "simhash-sets")
-    both = near.join(sets.withColumnsRenamed({"fp": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"fp": "b", "set": "sb"}), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= least * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    classes = written(connected_components(near, "a", "b", lambda df: written(df, "simhash-near")).withColumnRenamed("node", "fp"), "simhash-near")
+    weight = F.sum(F.greatest(F.lit(8) * F.col("n"), F.lit(2048)))
+    blocks = sets.select("fp", F.size("set").cast("long").alias("n")).join(classes, "fp").groupBy("component").agg(F.ceil(weight / BLOCK).cast("int").alias("blocks"))
+    placed = written(classes.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "simhash-placed")
+    copies = placed.select("fp", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    copies = copies.select("fp", F.col("component").alias("c"), F.least("block", "k").alias("x"), F.greatest("block", "k").alias("y"))
+    side = lambda c: placed.select(F.col("fp").alias(c), *(["component"] if c == "a" else []), F.col("block").alias(f"k{c}"))
+    pairs = near.join(side("a"), "a").join(side("b"), "b").select(F.col("component").alias("c"), F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y"), "a", "b")
+
+    def compare(own: pa.Table, pairs: pa.Table) -> pa.Table:
+        of = {fp: set(values) for fp, values in zip(own.column("fp").to_pylist(), (v.values.to_numpy().tolist() for c in own.column("set").chunks for v in c))} if pairs.num_rows else {}
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        out = []
+        for a, b in zip(pairs.column("a").to_numpy().tolist(), pairs.column("b").to_numpy().tolist()):
+            ra, rb = root(a), root(b)
+            if ra != rb and a in of and b in of:
+                shared = len(of[a] & of[b])
+                if shared >= least * (len(of[a]) + len(of[b]) - shared):
+                    above[ra] = rb
+                    out.append((a, b))
+        return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+    place = ["c", "x", "y"]
+    return copies.join(sets, "fp").groupBy(*place).cogroup(pairs.groupBy(*place)).applyInArrow(compare, "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = 4, segments: int = 3, width: int = 4, least: float | None = None, parts: int = 1, bits: int = 20) -> DataFrame:

@@ -108,6 +108,16 @@ def test_cutoffs_keep_the_risk(spark):
     assert sorted((r.doc_id or 0, r.base_failed) for r in out) == [(0, True), (0, True), (2, True)]
 
 
+def test_cutoffs_come_from_all_labelled_rows(spark):
+    """22,000 good rows, of which the 2,000 of the greatest hash have one ! for two words."""
+    ids = spark.range(22_000).withColumnRenamed("id", "doc_id")
+    late = ids.orderBy(F.xxhash64("doc_id").desc(), F.desc("doc_id")).limit(2000).withColumn("late", F.lit(1))
+    text = "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', x, if(late = 1 and x % 2 = 0, '!', ''))))"
+    docs = ids.join(late, "doc_id", "left").selectExpr("doc_id", f"{text} as text")
+    got = rules.learn(docs, ids.withColumn("quality", F.lit(1)))
+    assert got == {(rule, 0): 0.5 if rule == "exclaim_ratio" else 0.002 for rule in rules.RULES}
+
+
 def test_secrets_against_held_out_findings(spark):
     model = secrets.fit(secrets.labelled_findings(spark))
     fresh = secrets.labelled_findings(spark, 2000, seed=99)

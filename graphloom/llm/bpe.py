@@ -22,10 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 import regex
@@ -47,20 +45,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-@cache
-def YOUNG() -> re.Pattern:
-    """Characters that Python's Unicode tables lack: the library, which follows newer ones, normalises texts that hold any."""
-    ranges, begin = [], None
-    for c in range(0x110001):
-        young = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if young and begin is None:
-            begin = c
-        elif not young and begin is not None:
-            ranges.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
-            begin = None
-    return re.compile("[" + "".join(ranges) + "]")
-
-
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
@@ -75,13 +59,14 @@ class Automaton:
             self._gadget(at, u, v)
         labels = {t for t in vocab if self._live(t)}
         self.last = {t.removesuffix(suffix) for t in labels if t.endswith(suffix)}  # what may end a word, without the suffix
-        self.trie: dict = {}  # the others by their symbols; key None holds the token
+        self.trie: dict = {}  # the others by their symbols: the token that ends there or None, and what follows
         for t in labels:
             if not suffix or not t.endswith(suffix):
                 node = self.trie
                 for symbol in t:
-                    node = node.setdefault(symbol, {})
-                node[None] = t
+                    entry = node.setdefault(symbol, [None, {}])
+                    node = entry[1]
+                entry[0] = t
 
     def _live(self, token: str) -> bool:
         """Whether a token has arcs: base symbols do, others once a gadget laid them."""
@@ -141,27 +126,30 @@ class Automaton:
         n, suffix, last, trie, target, known, arc = len(word), self.suffix, self.last, self.trie, self.target, self.known, self.arc
         if word in last:
             return [word + suffix]
-        path: list[tuple[int, int, list[tuple[int, str]]]] = []
+        path: list[tuple[int, int, list[str]]] = []
         dead: set[int] = set()
         i, state, out = 0, 0, []
         while i < n:
-            options, j, node = [], i, trie
-            while True:
-                node = node.get(word[j])
-                j += 1
-                if node is None or j == n:
+            options, node, rest = [], trie, word[i:]
+            for symbol in rest[:-1]:
+                entry = node.get(symbol)
+                if entry is None:
                     break
-                token = node.get(None)
-                if token is not None and j not in dead:
-                    options.append((j, token))
-            rest = word[i:]
+                token, node = entry
+                if token is not None:
+                    options.append(token)
             if rest in last:
-                options.append((n, rest + suffix))
+                options.append(rest + suffix)
             while True:
                 while options:
-                    j, token = options.pop()  # the longest first
+                    token = options.pop()  # the longest first
+                    j = i + len(token)
+                    if j > n:
+                        j = n  # the suffix spells no symbol
+                    if j in dead:
+                        continue
                     got = known.get((state, token))
-                    if (arc(state, token) if got is None else got) and j not in dead:
+                    if arc(state, token) if got is None else got:
                         break
                 else:
                     dead.add(i)
@@ -198,6 +186,8 @@ class Tokenizer:
         self.memory = memory
         self.cache: dict[str, tuple[str, int]] = {}
         self.seen: dict[str, tuple[str, int]] = {}
+        self.numbers = {t: str(i) for t, i in model["vocab"].items()}
+        self.aged: set[str] = set()
         self.labels = {str(i): t for t, i in model["vocab"].items()} | {str(i): t for t, i in self.added.items()}
 
     def _words(self, stretch: str) -> list[str]:
@@ -209,10 +199,9 @@ class Tokenizer:
     def _word(self, word: str) -> tuple[str, int]:
         plain = word.isascii() and word.isprintable()  # such characters stand for themselves
         tokens = self.automaton.encode(word if plain else word.encode().decode("latin-1").translate(self.table))
-        vocab = self.automaton.vocab
         if len(self.seen) >= self.memory:
             self.seen.clear()
-        got = self.seen[word] = (" ".join([str(vocab[t]) for t in tokens]), len(tokens))
+        got = self.seen[word] = (" ".join(map(self.numbers.__getitem__, tokens)), len(tokens))
         return got
 
     def _stretch(self, stretch: str) -> tuple[str, int]:
@@ -225,11 +214,23 @@ class Tokenizer:
         self.cache[stretch] = got
         return got
 
+    def _young(self, text: str) -> bool:
+        """Whether a text holds characters that Python's Unicode tables lack: the library, which follows newer ones, normalises such texts.
+
+        Characters that the tables have are remembered, so that a text is one look-up a character.
+        """
+        if self.aged.issuperset(text):
+            return False
+        new = set(text) - self.aged
+        young = {c for c in new if unicodedata.category(c) == "Cn"}
+        self.aged |= new - young
+        return bool(young)
+
     def split(self, text: str) -> list[str]:
         """Normalise a part without added tokens and split it at blanks."""
         if text.isascii():
             text = text.lower()
-        elif YOUNG().search(text):
+        elif self._young(text):
             text = self.normalizer.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text)

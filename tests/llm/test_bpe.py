@@ -70,3 +70,27 @@ def test_digests_of_a_table(spark, both):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     rows = bpe.encode_documents(spark.createDataFrame(docs, "doc_id long, text string, ids int"), PATH).collect()
     assert all(r.n_tokens == len(r.ids.split()) for r in rows)
+
+
+def test_young_characters_are_looked_up_not_searched(both):
+    """Every code point is told by its category, again when it is remembered, and a long text costs about what its normal form does."""
+    import time
+    import unicodedata
+
+    mine, library = both
+    for c in [*range(0x20, 0xD800, 7), *range(0xE000, 0x30000, 7), 0x10FFFF]:
+        young = unicodedata.category(chr(c)) == "Cn"
+        assert mine._young(chr(c)) == mine._young("aß" + chr(c)) == young, hex(c)
+    text = "Größe: déjà vu, á \U0001fadc naïve " * 3
+    assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+    def least(run) -> float:
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    text = "Größe déjà über naïve schöne lange Wörter " * 5000
+    assert least(lambda: mine.split(text)) < 8 * least(lambda: unicodedata.normalize("NFC", text).lower().split())

@@ -12,8 +12,9 @@ a transition table.
 
 A pre-split word is encoded by one left-to-right run: each prefix has one accepted
 last token, so a position holds one state and the arcs out of it that spell the
-next symbols move on.  Decoding joins the labels of the arcs.  Whole words are
-remembered in two bounded tables (each emptied and refilled beyond ``memory`` words).
+next symbols move on.  Decoding joins the labels of the arcs.  Stretches and their
+words are remembered in two bounded tables of ``memory`` entries: a full one becomes
+the older, whose entries move over when they are met again, and the older one goes.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string.
 """
@@ -34,7 +35,9 @@ from tokenizers import Tokenizer as LibraryTokenizer
 from .common import slices
 
 OLD = unicodedata.ucd_3_2_0.category
-#: Words that each of the two tables of a worker remembers.
+LETTER = regex.compile(r"\p{L}").fullmatch
+MARKS = frozenset(".,;:!?")
+#: Entries of each of the two tables of a worker.
 MEMORY = 150_000
 
 
@@ -53,20 +56,24 @@ class Automaton:
         self.origin: dict[str, int] = {}  # where they led at first
         self.left: dict[str, tuple[str, int]] = {}  # a merged token's left part and the time of its merge
         self.gadgets: dict[tuple[str, str], int] = {}  # (u, v): when v was removed behind u
-        self.known: dict[tuple[int, str], bool] = {}
+        self.known: dict[int, bool] = {}  # by state and number of the token
         self.copies: dict[int, list[tuple[str, int]]] = {}
         for at, (u, v) in enumerate(merges):
             self._gadget(at, u, v)
-        labels = {t for t in vocab if self._live(t)}
-        self.last = {t.removesuffix(suffix) for t in labels if t.endswith(suffix)}  # what may end a word, without the suffix
-        self.trie: dict = {}  # the others by their symbols: the token that ends there or None, and what follows
+        # a leaf: symbols, token, its number, the state that its arcs lead to
+        labels = [t for t in vocab if self._live(t)]
+        self.states = len(self.made)
+        leaf = {t: (len(t), t, k * self.states, self.target.get(t, 0)) for k, t in enumerate(labels)}
+        self.last = {t.removesuffix(suffix): leaf[t] for t in labels if t.endswith(suffix)}  # what may end a word, without the suffix
+        self.reach = 1 + max((len(t.removesuffix(suffix)) for t in labels), default=0)
+        self.trie: dict = {}  # the others by their symbols: the leaf that ends there or None, and what follows
         for t in labels:
             if not suffix or not t.endswith(suffix):
                 node = self.trie
                 for symbol in t:
                     entry = node.setdefault(symbol, [None, {}])
                     node = entry[1]
-                entry[0] = t
+                entry[0] = leaf[t]
 
     def _live(self, token: str) -> bool:
         """Whether a token has arcs: base symbols do, others once a gadget laid them."""
@@ -95,25 +102,23 @@ class Automaton:
 
     def arc(self, state: int, token: str) -> bool:
         """Whether token may follow in state."""
-        key = (state, token)
-        got = self.known.get(key)
-        if got is None:
-            gadgets, part, until, got = self.gadgets, token, 1 << 60, True
-            history = self._history(state)
-            while got:
-                for u, at in history:
-                    gone = gadgets.get((u, part))
-                    # a part must have had its arc when the longer token was laid beside it;
-                    # a gadget removes before it lays, so the same time counts as gone
-                    if gone is not None and gone <= at and gone <= until:
-                        got = False
-                        break
-                if part not in self.left:
-                    break
-                part, until = self.left[part]
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[key] = got
+        gadgets, part, until = self.gadgets, token, 1 << 60
+        history = self._history(state)
+        while True:
+            for u, at in history:
+                gone = gadgets.get((u, part))
+                # a part must have had its arc when the longer token was laid beside it;
+                # a gadget removes before it lays, so the same time counts as gone
+                if gone is not None and gone <= at and gone <= until:
+                    return False
+            if part not in self.left:
+                return True
+            part, until = self.left[part]
+
+    def _arc(self, state: int, token: str, key: int) -> bool:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        got = self.known[key] = self.arc(state, token)
         return got
 
     def encode(self, word: str) -> list[str]:
@@ -123,33 +128,38 @@ class Automaton:
         so a position can be reached in one state only and is left for good when no
         path from it ends: the run is linear in the number of positions.
         """
-        n, suffix, last, trie, target, known, arc = len(word), self.suffix, self.last, self.trie, self.target, self.known, self.arc
+        n, last, trie, known, reach = len(word), self.last, self.trie, self.known, self.reach
         if word in last:
-            return [word + suffix]
-        path: list[tuple[int, int, list[str]]] = []
+            return [last[word][1]]
+        path: list[tuple[int, int, list[tuple]]] = []
         dead: set[int] = set()
         i, state, out = 0, 0, []
         while i < n:
-            options, node, rest = [], trie, word[i:]
-            for symbol in rest[:-1]:
+            rest = word[i : i + reach]  # no token is longer
+            ending = last.get(rest) if i + reach > n else None
+            if ending is not None:
+                key = ending[2] + state
+                got = known.get(key)
+                if self._arc(state, ending[1], key) if got is None else got:
+                    out.append(ending[1])
+                    return out
+            options, node = [], trie
+            for symbol in rest if i + reach <= n else rest[:-1]:
                 entry = node.get(symbol)
                 if entry is None:
                     break
-                token, node = entry
-                if token is not None:
-                    options.append(token)
-            if rest in last:
-                options.append(rest + suffix)
+                leaf, node = entry
+                if leaf is not None:
+                    options.append(leaf)
             while True:
                 while options:
-                    token = options.pop()  # the longest first
-                    j = i + len(token)
-                    if j > n:
-                        j = n  # the suffix spells no symbol
+                    symbols, token, key, to = options.pop()  # the longest first
+                    j = i + symbols
                     if j in dead:
                         continue
-                    got = known.get((state, token))
-                    if arc(state, token) if got is None else got:
+                    key += state
+                    got = known.get(key)
+                    if self._arc(state, token, key) if got is None else got:
                         break
                 else:
                     dead.add(i)
@@ -161,7 +171,7 @@ class Automaton:
                 break
             path.append((i, state, options))
             out.append(token)
-            i, state = j, target.get(token, 0)
+            i, state = j, to
         return out
 
 
@@ -185,32 +195,64 @@ class Tokenizer:
         self.rule, self.normalizer = library.pre_tokenizer, library.normalizer
         self.memory = memory
         self.cache: dict[str, tuple[str, int]] = {}
-        self.seen: dict[str, tuple[str, int]] = {}
+        self.older: dict[str, tuple[str, int]] = {}
         self.numbers = {t: str(i) for t, i in model["vocab"].items()}
         self.aged: set[str] = set()
+        self.settled: set[str] = set()
+        self.letters: set[str] = set()
         self.labels = {str(i): t for t, i in model["vocab"].items()} | {str(i): t for t, i in self.added.items()}
 
-    def _words(self, stretch: str) -> list[str]:
-        """The pre-split.  Characters younger than Unicode 3.2 go by the library's own rule: its tables and regex's differ on new ones."""
-        if stretch.isascii() or all([OLD(c) != "Cn" for c in stretch]):
-            return self.words.findall(stretch)
-        return [w.translate(self.back).encode("latin-1").decode() for w, _ in self.rule.pre_tokenize_str(stretch)]
+    def _old(self, stretch: str) -> bool:
+        """Whether a stretch has no character younger than Unicode 3.2.  Those found old are remembered, as in ``_young``."""
+        if self.settled.issuperset(stretch):
+            return True
+        old = {c for c in stretch if OLD(c) != "Cn"}
+        self.settled |= old
+        return old.issuperset(stretch)
+
+    def _letters(self, stretch: str) -> bool:
+        """Whether a stretch without young characters is letters alone, and so one word.  Letters are remembered, as in ``_young``."""
+        if not stretch.isalpha():
+            return False
+        if not self.letters.issuperset(stretch):
+            self.letters |= {c for c in stretch if LETTER(c)}
+            return self.letters.issuperset(stretch)
+        return True
+
+    def _split(self, stretch: str) -> list[str]:
+        """The pre-split of a stretch without young characters; letters, and letters before one mark, needn't be searched."""
+        if self._letters(stretch):
+            return [stretch]
+        if stretch[-1:] in MARKS and self._letters(stretch[:-1]):
+            return [stretch[:-1], stretch[-1]]
+        return self.words.findall(stretch)
 
     def _word(self, word: str) -> tuple[str, int]:
         plain = word.isascii() and word.isprintable()  # such characters stand for themselves
         tokens = self.automaton.encode(word if plain else word.encode().decode("latin-1").translate(self.table))
-        if len(self.seen) >= self.memory:
-            self.seen.clear()
-        got = self.seen[word] = (" ".join(map(self.numbers.__getitem__, tokens)), len(tokens))
-        return got
+        return " ".join(map(self.numbers.__getitem__, tokens)), len(tokens)
 
     def _stretch(self, stretch: str) -> tuple[str, int]:
-        """(ids, number) of a stretch without blanks; no rule of the pre-split looks across a blank."""
-        seen = self.seen
-        parts = [seen.get(w) or self._word(w) for w in ([stretch] if stretch.isascii() and stretch.isalpha() else self._words(stretch))]
-        got = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]))
+        """(ids, number) of a stretch without blanks; no rule of the pre-split looks across a blank.
+
+        Characters younger than Unicode 3.2 go by the library's own rule: its tables and regex's differ on new ones.
+        The words of other stretches are remembered beside these: each is its own only word.
+        """
+        got = self.older.get(stretch)
+        if got is None:
+            if not self._old(stretch):
+                parts = [self._word(w.translate(self.back).encode("latin-1").decode()) for w, _ in self.rule.pre_tokenize_str(stretch)]
+                got = " ".join([p[0] for p in parts]), sum([p[1] for p in parts])
+            else:
+                words = self._split(stretch)
+                if len(words) == 1:
+                    got = self._word(words[0])
+                else:
+                    get = self.cache.get
+                    parts = [get(w) or self._stretch(w) for w in words]
+                    got = " ".join([p[0] for p in parts]), sum([p[1] for p in parts])
         if len(self.cache) >= self.memory:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         self.cache[stretch] = got
         return got
 

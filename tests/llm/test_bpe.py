@@ -94,3 +94,34 @@ def test_young_characters_are_looked_up_not_searched(both):
 
     text = "Größe déjà über naïve schöne lange Wörter " * 5000
     assert least(lambda: mine.split(text)) < 8 * least(lambda: unicodedata.normalize("NFC", text).lower().split())
+
+
+def test_a_word_that_comes_back_is_encoded_once(both):
+    """A full table goes in two steps: a word that is met again and again stays, whatever passes by, and the ids are the library's."""
+    _, library = both
+    mine, ran = bpe.Tokenizer(PATH, memory=20), []
+    encode = mine.automaton.encode
+    mine.automaton.encode = lambda word: ran.append(word) or encode(word)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abdeéßñ中") for _ in range(9))
+    for _ in range(100):
+        text = f"whhaedor {word()} {word()}. ({word()}) {word()}, whhaedor! ça: 'whhaedor'"
+        assert mine.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+    assert ran.count("whhaedor") == 1
+    assert len(mine.cache) <= 20 and len(mine.older) <= 20
+
+
+def test_a_long_word_costs_in_proportion(both):
+    """No position looks at the whole rest of its word."""
+    import time
+
+    mine, library = both
+    r = random.Random(13)
+    word = "".join(r.choice("etaoinshrdlu") for _ in range(600_000))
+    automaton, took = mine.automaton, []
+    for n in (20_000, 600_000):
+        began = time.process_time()
+        automaton.encode(word[:n])
+        took.append(time.process_time() - began)
+    assert took[1] < 100 * took[0]
+    assert mine.encode(word[:20_000]) == library.encode(word[:20_000], add_special_tokens=False).ids

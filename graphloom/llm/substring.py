@@ -86,24 +86,35 @@ def _grams(x: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
-def fingerprints(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Of each text: anchors, first starts and hashes (0: repeated in the text) of its entries; starts of the windows that repeat."""
+def fingerprints(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' entries in their order, not taken apart.
+
+    Anchors and first starts of the entries; hashes of all windows (0: repeated in the text)
+    and where each entry's begin; how many entries the texts up to each have; starts of the
+    windows that repeat, and how many of these the texts up to each have.
+    """
     words = [w for t in texts for w in t]
     sizes = np.array([len(t) for t in texts], np.int64)
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, number)), "<u8").reshape(-1, 2)
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    at = coded.indices.to_numpy()
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.to_pylist())), "<u8").reshape(-1, 2)
     doc = np.repeat(np.arange(len(texts)), sizes)
     own = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :]) if len(doc) >= WINDOW else np.zeros(0, np.int64)
     if not len(own):
-        return (_nothing() for _ in texts)
+        none, all_ = np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int32)
+        return none, none.astype(np.int32), none.astype(np.int32), all_[:1], all_, none, all_
     hashes = _mix(_grams(both[at, 1], WINDOW))[own]
     least, k, span = _mix(_grams(both[at, 0], GRAM)), 1, WINDOW - GRAM + 1
     while 2 * k <= span:
         least, k = np.minimum(least[:-k], least[k:]), 2 * k
     least = np.minimum(least[: len(least) - (span - k)], least[span - k :])[own]
     doc = doc[own]
-    order = np.argsort(hashes + doc.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), kind="stable")
+    keys = hashes + doc.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    order = np.argsort(keys)
+    tie = keys[order][1:] == keys[order][:-1]
+    tied = np.append(tie, False) | np.insert(tie, 0, False)
+    some = order[tied]
+    order[tied] = some[np.lexsort((some, keys[some]))]  # of equal keys the first place comes first
     same = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     first = order[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))]
     inner = np.zeros(len(own), bool)
@@ -116,20 +127,9 @@ def fingerprints(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndar
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     begin = np.flatnonzero(new)
     start = own - (np.cumsum(sizes) - sizes)[doc]
-    entries = np.searchsorted(doc[begin], np.arange(len(texts) + 1))
-    places = np.searchsorted(doc, np.arange(len(texts) + 1))
-    ends = np.append(begin, len(own))
-
-    def each(k: int):
-        e = slice(entries[k], entries[k + 1])
-        p = slice(places[k], places[k + 1])
-        return least[begin[e]].view(np.int64), start[begin[e]], [short[a:b] for a, b in zip(ends[e], ends[entries[k] + 1 : entries[k + 1] + 1])], start[p][inner[p]]
-
-    return map(each, range(len(texts)))
-
-
-def _nothing():
-    return np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+    upto = np.arange(len(texts) + 1)
+    entries, repeats = np.searchsorted(doc[begin], upto), np.searchsorted(doc[inner], upto)
+    return least[begin].view(np.int64), start[begin].astype(np.int32), short, np.append(begin, len(own)).astype(np.int32), entries.astype(np.int32), start[inner], repeats.astype(np.int32)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -151,15 +151,10 @@ def _entries(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             texts = _words(batch.column(1))
             joined = [b" ".join(t) for t in texts]
-            a, s, w, inner = zip(*fingerprints(texts))
-            counts = [len(x) for x in a]
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            lists = [x for xs in w for x in xs]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists]), pa.int32()))
-            entry = pa.StructArray.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(s).astype(np.int32)), flat], names=["a", "s", "w"])
+            a, s, w, ends, upto, inner, repeats = fingerprints(texts)
+            entry = pa.StructArray.from_arrays([pa.array(a), pa.array(s), pa.ListArray.from_arrays(pa.array(ends), pa.array(w))], names=["a", "s", "w"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([_key(j) for j in joined], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(j).digest() for j in joined], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), entry), pa.array(inner, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array([_key(j) for j in joined], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(j).digest() for j in joined], pa.binary()), pa.ListArray.from_arrays(pa.array(upto), entry), pa.ListArray.from_arrays(pa.array(repeats), pa.array(inner))],
                 names=["id", "key", "n_words", "sha", "entries", "inner"],
             )
 
@@ -291,9 +286,11 @@ class Index:
         narrow = long.select("id", "key", "n_words", "sha")
         marked = hot_join(narrow, firsts, ["key", "sha"], number).select("id", "key", "n_words", "sha", (F.col("first").isNull() | (F.col("id") > F.col("first"))).alias("copy"))
         marked = written(marked.unionByName(rows.filter(F.col("n_words") < WINDOW).select("id", "key", "n_words", "sha", F.lit(False).alias("copy"))), "lsm-marked")
-        copies = marked.filter("copy").select("id", "key").distinct()
-        # entries aren't shuffled for the copies' sake while these are few
-        own = written(long.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["id", "key"], "left_anti").select("id", "key", "entries", "inner"), "lsm-own")
+        copies = written(marked.filter("copy").select("id", "key").distinct(), "lsm-copies")
+        # entries are neither shuffled nor written anew for the copies' sake while these are few
+        few = copies.count() <= BROADCAST_ROWS
+        own = long.join(F.broadcast(copies) if few else copies, ["id", "key"], "left_anti").select("id", "key", "entries", "inner")
+        own = own if few else written(own, "lsm-own")
         inner = written(own.filter(F.size("inner") > 0).select("id", "key", "inner"), "lsm-inner")
         # anchors
         entries = own.select("id", F.inline("entries"))
@@ -307,8 +304,9 @@ class Index:
         limit = max(10_000, total // 1000)
         named = shared.filter(F.col("n") > limit).select("a")  # a thousand at most
         crowd = None if named.isEmpty() else entries.join(F.broadcast(named), "a", "left_semi")
-        few = entries if crowd is None else entries.join(F.broadcast(named), "a", "left_anti")
-        flagged = few.join(shared.select("a", F.lit(True).alias("hit")).hint("merge"), "a", "left").select("a", "id", "s", "w", F.coalesce("hit", F.lit(False)).alias("hit"))
+        others = entries if crowd is None else entries.join(F.broadcast(named), "a", "left_anti")
+        # by number: one task a bucket, and so one file, even where nothing is shared and the join falls away
+        flagged = others.repartition(self.buckets, "a").join(shared.select("a", F.lit(True).alias("hit")).hint("merge"), "a", "left").select("a", "id", "s", "w", F.coalesce("hit", F.lit(False)).alias("hit"))
         cold_run, met = self._write(flagged, "cold", "hit")
         met = met if crowd is None else met.unionByName(crowd.select("a", "id", "s", "w"))
         hot_run, _ = self._write(shared.filter("not hot").select("a").repartition(self.buckets, "a"), "hot")
@@ -335,7 +333,7 @@ class Index:
         self._commit()
         for path in (cold_run, windows_run, texts_run):
             delete(self.spark, f"{self.folder}/{path.rsplit('=', 1)[0]}=true")
-        remove(rows, own, shared)
+        remove(rows, shared, copies, *([] if few else [own]))
         return marked.join(inner, ["id", "key"], "left"), segments
 
     def _compact(self) -> None:
@@ -431,6 +429,16 @@ def _bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(got or []))
 
 
+def _between(docs: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Rows of ids over low and up to high.  Null ids come first.  The plain comparisons reach the Parquet scan, which skips what holds no such id."""
+    id_ = F.col("doc_id").cast("long")
+    if low is not None:
+        docs = docs.filter(id_ > low)
+    if high is not None:
+        docs = docs.filter(id_ <= high if low is not None else id_.isNull() | (id_ <= high))
+    return docs
+
+
 def deduplicate(docs: DataFrame, batches: int = 3, fanout: int = 2, folder: str | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_words (null where nothing is removed) of every row.
 
@@ -439,10 +447,8 @@ def deduplicate(docs: DataFrame, batches: int = 3, fanout: int = 2, folder: str
     """
     index, bounds = Index(docs.sparkSession, folder, fanout), _bounds(docs, batches)
     marked = segments = None
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL))
     for low, high in zip([None, *bounds], [*bounds, None]):
-        part = docs if low is None else docs.filter(id_ > low)
-        one, two = index.ingest(part if high is None else part.filter(id_ <= high))
+        one, two = index.ingest(_between(docs, low, high))
         marked = one if marked is None else marked.unionByName(one)
         segments = two if segments is None else segments.unionByName(two)
     index.close(forget=folder is None)

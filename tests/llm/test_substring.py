@@ -107,3 +107,50 @@ def test_a_long_text_and_clashing_columns(spark):
     docs = [(1, long), (2, "tail " + long[5000:9000])]
     df = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "doc_id long, text string, id int, a int, inner string")
     assert rows(substring.deduplicate(df)) == brute(docs)
+
+
+def test_batches_read_their_own_ids_and_entries_are_written_once(spark, tmp_path, monkeypatch):
+    """A batch's ids reach the Parquet scan, null ids are in the first, and leaving copies out doesn't write the entries again."""
+    docs = [(i, " ".join(f"w{i % 7}x{j}" for j in range(30))) for i in range(40)] + [(None, "a b"), (None, " ".join(f"w3x{j}" for j in range(30)))]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/docs")
+    plans, labels, counts = [], [], []
+    ingest, written = substring.Index.ingest, substring.written
+
+    def seen(self, batch):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        counts.append((batch.count(), batch.filter("doc_id is null").count()))
+        return ingest(self, batch)
+
+    monkeypatch.setattr(substring.Index, "ingest", seen)
+    monkeypatch.setattr(substring, "written", lambda df, label, *rest: labels.append(label) or written(df, label, *rest))
+    got = substring.deduplicate(spark.read.parquet(f"{tmp_path}/docs"))
+    assert sorted(map(str, rows_of(got))) == sorted(map(str, ((None if d == -1 else d, *rest) for d, *rest in brute([(-1 if d is None else d, t) for d, t in docs]))))
+    assert len(plans) == 3 and sum(n for n, _ in counts) == len(docs) and [n for _, n in counts] == [2, 0, 0]
+    assert all("LessThanOrEqual(doc_id" in p for p in plans[:2]) and all("GreaterThan(doc_id" in p for p in plans[1:])
+    assert labels.count("lsm-rows") == 3 and "lsm-own" not in labels
+
+
+def rows_of(df):
+    return [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()]
+
+
+def test_many_copies_are_met_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", 1)
+    base = [" ".join(f"v{k}x{j}" for j in range(45)) for k in range(4)]
+    docs = [(i, base[i % 4] + (" z" * 3 if i % 5 == 0 else "")) for i in range(40)]
+    assert rows(substring.deduplicate(spark.createDataFrame(docs, DOCS))) == brute(docs)
+
+
+def test_windows_repeated_in_a_text_count_from_their_first_place():
+    """Of windows that a text repeats, all but the first are named, whatever the sort of the hashes does with equals."""
+    r = random.Random(21)
+    base = [f"q{r.randint(0, 9)}".encode() for _ in range(30)]
+    texts = [base * k + [b"end"] for k in (1, 3, 9)] + [[], [b"x"] * 400]
+    *_, inner, upto = substring.fingerprints(texts)
+    for k, t in enumerate(texts):
+        seen, want = set(), []
+        for s in range(len(t) - 19):
+            w = tuple(t[s : s + 20])
+            want += [s] if w in seen else []
+            seen.add(w)
+        assert inner[upto[k] : upto[k + 1]].tolist() == want

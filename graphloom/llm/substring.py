@@ -53,6 +53,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _NULL = -(1 << 63)
 #: Copies of a batch, (id, key) each, that are broadcast; more meet the entries in a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows and bytes of a batch between a scan, the JVM and Python; Python looks at slices of half a MB of text, with some hundred bytes a word beside them.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 500, 2 << 20, 1 << 19
 LAYOUT = {
     "cold": ("a long, id long, s int, w array<int>", ["a"]),
     "hot": ("a long", ["a"]),
@@ -148,7 +150,7 @@ def _entries(docs: DataFrame) -> DataFrame:
     """One row per document: hashes and number of its words, its entries, and the starts of windows it repeats itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             texts = _words(batch.column(1))
             joined = [b" ".join(t) for t in texts]
             a, s, w, ends, upto, inner, repeats = fingerprints(texts)
@@ -178,9 +180,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how:
 
 
 @contextmanager
-def _ordered(spark: SparkSession, buckets: int):
-    """Shuffles fit the buckets, and scans of sorted buckets tell their order, so that joins with runs merge without a sort; the settings are put back."""
-    own = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.shuffle.partitions": str(buckets)}
+def _settings(spark: SparkSession, own: dict[str, str]):
+    """The session with these settings; those of before are put back."""
     before = {name: spark.conf.get(name, None) for name in own}
     for name, value in own.items():
         spark.conf.set(name, value)
@@ -191,6 +192,17 @@ def _ordered(spark: SparkSession, buckets: int):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def _ordered(spark: SparkSession, buckets: int):
+    """Shuffles fit the buckets, and scans of sorted buckets tell their order, so that joins with runs merge without a sort."""
+    return _settings(spark, {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.shuffle.partitions": str(buckets)})
+
+
+def _narrow(spark: SparkSession):
+    """Rows are wide here (a text, or hashes of all its windows), so fewer are held at once, by the JVM outside its heap,
+    by a Parquet scan on it and by Python, than the session's batches of narrow rows would."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.parquet.columnarReaderBatchSize": str(BATCH_ROWS)})
+
+
 class Index:
     """Runs in a shared folder.  An index that is opened again goes on where it was left."""
 
@@ -264,7 +276,7 @@ class Index:
         that came earlier: id, start s, length n in windows, first document id0 and start s0).
         copy: the whole text came earlier, and so did each of its windows.
         """
-        with _ordered(self.spark, self.buckets):
+        with _ordered(self.spark, self.buckets), _narrow(self.spark):
             if len(self.runs) >= self.fanout:
                 self._compact()
             return self._ingest(batch)
@@ -372,7 +384,7 @@ def cut(docs: DataFrame, marked: DataFrame, segments: DataFrame, corpus: DataFra
     wanted = written(asked.groupBy("id0").agg(F.collect_list(F.struct("s0", "n")).alias("parts")), "lsm-wanted")
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column=1):
+        for batch in slices(batches, size=SLICE_BYTES):
             ids, s, n, passages = [], [], [], []
             for doc, words, parts in zip(batch.column(0).to_pylist(), _words(batch.column(1)), batch.column(2).to_pylist()):
                 for p in parts:
@@ -382,12 +394,13 @@ def cut(docs: DataFrame, marked: DataFrame, segments: DataFrame, corpus: DataFra
 
     lent = hit_rows(_plain(docs if corpus is None else corpus), "id", wanted.select(F.col("id0").alias("id"))).join(wanted.withColumnRenamed("id0", "id").hint("merge"), "id").select("id", "text", "parts")
     lent = lent.mapInArrow(lend, "id0 long, s0 int, n int, passage binary").distinct().groupBy("id0", "s0", "n").agg(F.collect_list("passage").alias("passages"))
-    lent = written(lent.join(asked, ["id0", "s0", "n"]).select("id0", "s0", F.col("n").alias("size"), "passages", F.col("n_asked").alias("n")), "lsm-lent")
+    with _narrow(docs.sparkSession):
+        lent = written(lent.join(asked, ["id0", "s0", "n"]).select("id0", "s0", F.col("n").alias("size"), "passages", F.col("n_asked").alias("n")), "lsm-lent")
     met = hot_join(segments.withColumnRenamed("n", "size"), lent, ["id0", "s0", "size"], segments.count())
     lists = met.groupBy("id").agg(F.collect_list(F.struct("s", F.col("size").alias("n"), "passages")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column=1):
+        for batch in slices(batches, size=SLICE_BYTES):
             keys, removed, sha, left = [], [], [], []
             for words, parts, inner in zip(_words(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 key = _key(b" ".join(words))

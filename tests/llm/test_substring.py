@@ -154,3 +154,28 @@ def test_windows_repeated_in_a_text_count_from_their_first_place():
             want += [s] if w in seen else []
             seen.add(w)
         assert inner[upto[k] : upto[k + 1]].tolist() == want
+
+
+def test_few_wide_rows_are_held_at_once(spark, tmp_path):
+    """Batches to Python are bounded by rows and by bytes while a batch is indexed, whatever the session's are; its settings come back."""
+    names = ("arrow.maxRecordsPerBatch", "arrow.maxBytesPerBatch")
+    names = ("spark.sql.parquet.columnarReaderBatchSize", *(f"spark.sql.execution.{n}" for n in names))
+    before = [spark.conf.get(n) for n in names]
+    docs = [(i, f"a{i} b") for i in range(3000)] + [(5000 + i, f"{i} " + "x" * 300_000) for i in range(30)]
+    folder = str(tmp_path)
+
+    def seen(batches):
+        for k, batch in enumerate(batches):
+            with open(f"{folder}/{k}-{batch.column(0)[0]}", "w") as out:
+                out.write(f"{batch.num_rows} {batch.nbytes}")
+            yield batch
+
+    df = spark.createDataFrame(docs, DOCS).coalesce(1).mapInArrow(seen, DOCS)
+    index = substring.Index(spark, f"file://{tmp_path}/index/of")
+    marked, _ = index.ingest(df)
+    assert marked.count() == len(docs)
+    index.close()
+    got = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir() if p.is_file()]
+    assert sum(n for n, _ in got) == len(docs)
+    assert max(n for n, _ in got) <= 1000 and max(b for _, b in got) < 4 << 20
+    assert [spark.conf.get(n) for n in names] == before

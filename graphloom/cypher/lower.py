@@ -93,6 +93,14 @@ def has_aggregate(e) -> bool:
     return isinstance(e, list) and any(has_aggregate(x) for x in e)
 
 
+def kinds_in(e, kinds: set[str]) -> list[tuple]:
+    """The expressions of some kinds inside one."""
+    if isinstance(e, (tuple, list)):
+        own = [e] if isinstance(e, tuple) and e and isinstance(e[0], str) and e[0] in kinds else []
+        return own + [y for x in e for y in kinds_in(x, kinds)]
+    return []
+
+
 def resolve(name: str, table: dict) -> str | None:
     """A function or procedure name, with or without its leading namespace."""
     while name not in table:
@@ -150,7 +158,9 @@ class Lowering:
             used = names_in(list(later)) | names_in(clause[3])
             if any(isinstance(c, Projection) and c.star for c in later):
                 used |= names_in(clause[2])
-            return self.optional(frame, clause[2], clause[3], used) if clause[1] else self.where(self.match(frame, clause[2], used), clause[3])
+            if clause[1]:
+                return self.optional(frame, clause[2], clause[3], used)
+            return self.where(self.match(frame, clause[2], used, self.counted(frame, clause[2], clause[3], later)), clause[3])
         if kind == "unwind":
             return self.unwind(frame, clause[1], clause[2])
         if kind == "call":
@@ -160,12 +170,43 @@ class Lowering:
         raise Unsupported(f"{kind.upper()} is run by Engine.update, not inside a read")
 
     # ---------------------------------------------------------------- patterns
-    def match(self, frame: Frame, patterns: list[PathPattern], used: set[str]) -> Frame:
+    def counted(self, frame: Frame, patterns: list[PathPattern], where, later) -> dict[str, set[str]] | None:
+        """If what follows a first MATCH asks only how many matches there are of what it groups by: the properties read of each variable."""
+        p = later[0] if later else None
+        if frame.scope or not isinstance(p, Projection) or p.star or any(x.var or x.mode or any(r.hops is not None for r in x.rels) for x in patterns):
+            return None
+        read = [*(e for e, _ in p.items), *(e for e, _ in p.order), where, *(x.props for y in patterns for x in [*y.nodes, *y.rels])]
+        if not any(has_aggregate(e) for e, _ in p.items) or kinds_in(read, {"exists", "subcount", "pcomp"}):
+            return None
+        if any(e[1] in AGGREGATES - {"count", "min", "max"} for e in kinds_in(read, {"fn"})):
+            return None
+        props: dict[str, set[str]] = {}
+        for _, of, name in kinds_in(read, {"prop"}):
+            if of[0] == "var":
+                props.setdefault(of[1], set()).add(name)
+        return props
+
+    def fold(self, frame: Frame, needed: set[str], ahead: list[RelPattern], taken: list[str], props: dict[str, set[str]]) -> Frame:
+        """Matches that differ in nothing needed become one row and their number, ``__weight``: no product of branches is made to be counted."""
+        gone = [v for v in frame.scope if v not in needed]
+        kept = [v for v in frame.scope if v in needed]
+        meets = lambda types: any(not types or not r.types or set(types) & set(r.types) for r in ahead)
+        if not any(frame.scope[v].kind == "node" for v in gone) or any(frame.scope[v].kind != "node" for v in kept) or any(v in gone and meets(types) for v, types in taken):
+            return frame
+        keys = [c for v in kept for c in (f"{v}$id", *(f"{v}$p:{n}" for n in sorted(props.get(v, ())))) if c in frame.df.columns]
+        rest = [c for v in kept for c in self.columns_of(frame, v) if c not in keys]
+        n = F.sum("__weight") if "__weight" in frame.df.columns else F.count(F.lit(1))
+        df = frame.df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(n.alias("__weight"), *[F.first(F.col(f"`{c}`")).alias(c) for c in rest]).filter("__weight > 0")
+        taken[:] = [t for t in taken if t[0] in kept]
+        return Frame(df, {v: frame.scope[v] for v in kept}, frame.order)
+
+    def match(self, frame: Frame, patterns: list[PathPattern], used: set[str], counted: dict[str, set[str]] | None = None) -> Frame:
         taken: list[str] = []  # single relationships of this MATCH: no edge twice
         shared = {v for p in patterns for x in [*p.nodes, *p.rels] if x.var for v in [x.var]}
         counts = {v: sum(x.var == v for p in patterns for x in [*p.nodes, *p.rels]) for v in shared}
-        for pattern in patterns:
-            frame = self.path(frame, pattern, used | {v for v, n in counts.items() if n > 1}, taken)
+        for k, pattern in enumerate(patterns):
+            after = (counted, names_in(list(patterns[k + 1 :])) | names_in([x.props for p in patterns for x in [*p.nodes, *p.rels]]), [r for p in patterns[k + 1 :] for r in p.rels]) if counted is not None else None
+            frame = self.path(frame, pattern, used | {v for v, n in counts.items() if n > 1}, taken, after, used)
         return frame
 
     def node_columns(self, var: str, expr, props: bool = True) -> tuple[DataFrame, Var]:
@@ -202,20 +243,26 @@ class Lowering:
             frame = replace(frame, df=frame.df.filter(label_column(p.labels, frame.column(var, "labels"))))
         return self.props_filter(frame, var, p.props)
 
-    def path(self, frame: Frame, pattern: PathPattern, used: set[str], taken: list[str]) -> Frame:
+    def path(self, frame: Frame, pattern: PathPattern, used: set[str], taken: list[str], after: tuple | None = None, returned: set[str] = frozenset()) -> Frame:
+        """after: properties read, names and relationships of the patterns to come, if matches need only be counted."""
         nodes, rels = pattern.nodes, pattern.rels
         names = [n.var or self.fresh("n") for n in nodes]
         edges = [r.var or self.fresh("r") for r in rels]
         if pattern.var and not pattern.mode:
             used = used | set(names) | set(edges)
         start = next((i for i, n in enumerate(names) if n in frame.scope), None)
+        if after is not None and frame.scope:
+            frame = self.fold(frame, returned | after[1] | set(names), [*rels, *after[2]], taken, after[0])
         if start is None:
             start = self.anchor(nodes)
             frame = self.bind_node(frame, names[start], nodes[start], need=names[start] in used)
         else:
             frame = self.recheck(frame, names[start], nodes[start])
         steps = [(i, i + 1, i, False) for i in range(start, len(rels))] + [(i + 1, i, i, True) for i in range(start - 1, -1, -1)]
-        for a, b, k, reverse in steps:
+        for n, (a, b, k, reverse) in enumerate(steps):
+            if after is not None and n > 0:
+                ahead = steps[n:]
+                frame = self.fold(frame, returned | after[1] | {names[i] for s in ahead for i in s[:2]}, [*(rels[s[2]] for s in ahead), *after[2]], taken, after[0])
             r = rels[k]
             turn = {"out": "in", "in": "out", "both": "both"}
             direction = turn[r.direction] if reverse else r.direction
@@ -742,8 +789,9 @@ class Lowering:
         return x
 
     def aggregation(self, frame: Frame, e) -> Column:
+        weight = F.col("__weight") if "__weight" in frame.df.columns else None  # how many matches a row stands for
         if e[0] == "countstar":
-            return F.count(F.lit(1))
+            return F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("bigint"))
         _, name, args, distinct = e
         if not args or len(args) != (2 if name.startswith("percentile") else 1):
             raise InvalidFunctionCall(f"{name}() got {len(args)} arguments")
@@ -752,7 +800,9 @@ class Lowering:
         node = args[0][0] == "var" and args[0][1] in frame.scope and frame.scope[args[0][1]].kind in ("node", "rel")
         if name == "count":
             c = frame.column(args[0][1], "id") if node else self.expr(frame, args[0])
-            return F.count_distinct(c) if distinct else F.count(c)
+            if distinct or weight is None:
+                return F.count_distinct(c) if distinct else F.count(c)
+            return F.coalesce(F.sum(F.when(c.isNotNull(), weight)), F.lit(0).cast("bigint"))
         c = self.whole_expr(frame, args[0])
         t = self.type_of(frame, c)
         if name == "collect":

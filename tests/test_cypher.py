@@ -117,3 +117,44 @@ def test_explicit_hop_bounds_hold(spark):
     """Only an open upper bound is capped."""
     engine = Engine(plain(spark, [(i, i + 1) for i in range(18)]))
     assert rows(engine, "MATCH (a)-[r*16..17]->(b) RETURN count(*) AS n") == [(5,)]
+
+
+COUNTED = [
+    "MATCH (a:N)-[:R]->(h), (b:N)-[:S]->(h) RETURN h.name AS h, count(*) AS n, count(h.size) AS k, max(h.size) AS m, count(DISTINCT h) AS d",
+    "MATCH (a)-[:R]->(h)<-[:S]-(b)-[:R]->(c) RETURN c.name AS c, count(*) AS n, count(a) AS k",
+    "MATCH (a)-[:R]->(h), (b)-[:R]->(h) RETURN h.name AS h, count(*) AS n",
+    "MATCH (a)-[:R]->(h), (b)-[:S]->(h), (c)-[]->(h) RETURN h.size AS s, count(*) + 1 AS n",
+    "MATCH (a)-[:R]->(h), (b)-[:S]->(h) WHERE b.size > 1 WITH h, count(*) AS n WHERE n > 1 RETURN h.name AS h, n",
+    "MATCH (a)-[:R]->(h), (b {size: a.size})-[:S]->(h) RETURN count(*) AS n",
+    "MATCH (a {name: 'n1'})-[:R]->(), (b)-[:S]->(), (c) RETURN c.size AS s, count(*) AS n",
+    "MATCH (a {name: 'nobody'})-[:R]->(h), (b) RETURN count(*) AS n",
+    "MATCH (a {name: 'nobody'})-[:R]->(h), (b) RETURN b.size AS s, count(*) AS n",
+    "MATCH (a)-[r:R]->(h), (b)-[:S]->(h) RETURN type(r) AS t, count(*) AS n",
+    "MATCH (a)-[:R]->(h), (b)-[:S]->(h) RETURN h.name AS h, sum(b.size) AS s",
+]
+
+
+def test_counts_without_the_pairs(spark, monkeypatch):
+    """The same counts as of the matches one by one."""
+    from graphloom.catalog import Graph
+    from graphloom.cypher.lower import Lowering
+
+    edges = [(k, k * 7 % 11, k * 5 % 9, "RS"[k % 2]) for k in range(40)]
+    nodes = [(i, ["N"] if i % 3 else ["M"], f"n{i}", i % 4 if i % 5 else None) for i in range(11)]
+    graph = Graph.from_frames(spark.createDataFrame(nodes, "id long, labels array<string>, name string, size long"), spark.createDataFrame(edges, "id long, src long, dst long, type string"))
+    got = [sorted(rows(Engine(graph), q), key=str) for q in COUNTED]
+    monkeypatch.setattr(Lowering, "counted", lambda *_: None)
+    assert got == [sorted(rows(Engine(graph), q), key=str) for q in COUNTED]
+    assert all(got[:3])
+
+
+def test_counts_more_pairs_than_could_be_made(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.catalog import Graph
+
+    n = 300_000
+    ids = spark.range(2 * n + 1)
+    nodes = ids.select("id", F.array(F.lit("N")).alias("labels"), F.lit("x").alias("name"))
+    edges = ids.filter("id > 0").select("id", F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.when(F.col("id") > n, "R").otherwise("S").alias("type"))
+    assert rows(Engine(Graph.from_frames(nodes, edges)), "MATCH (a)-[:R]->(h), (b)-[:S]->(h) RETURN h.name AS h, count(*) AS n") == [("x", n * n)]

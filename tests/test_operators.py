@@ -190,6 +190,21 @@ def test_entities(spark):
     assert [r.entity for r in entities.aliases(a, "b").collect()] == [1]
 
 
+def test_entities_of_equal_names(spark):
+    """Names are compared once: 300 nodes of two names need one comparison, not 44,850, and give the pairs of every two nodes."""
+    r = random.Random(5)
+    pool = ["anna petrova", "anna petrowa", "a petrova", "ann petrova", "petrova anna maria", "petr", "p"]
+    rows = [(i, r.choice(pool), r.choice(["P", "Q", None])) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id long, name string, type string")
+    for blocking in ("prefix3", "token", "none"):
+        blocks = {"prefix3": lambda n: {" ".join([w for w in n.split() if len(w) > 1] or n.split())[:3]}, "token": lambda n: {w for w in n.split() if len(w) > 2}, "none": lambda n: {""}}[blocking]
+        want = {(i, j): entities.name_score(a, b) for i, a, s in rows for j, b, t in rows if i < j and s == t and blocks(a) & blocks(b)}
+        found = entities.candidates(nodes, 0.9, blocking=blocking).collect()
+        assert {(x.a, x.b): x.nameScore for x in found} == {k: v for k, v in want.items() if v >= 0.9} and len(found) == len({(x.a, x.b) for x in found}) > 0
+    twins = spark.createDataFrame([(i, ["anna petrova", "anna petrowa"][i % 2], "P") for i in range(300)], "id long, name string, type string")
+    assert entities.candidates(twins, 0.9, max_pairs=1).count() == 300 * 299 // 2
+
+
 def test_memory(spark):
     log = spark.createDataFrame([("d", "AT", "acme", "assert", True, "2024-01-01"), ("d", "AT", "acme", "assert", True, "2024-02-01"), ("d", "AT", "globex", "assert", True, "2024-03-01"), ("d", "LIKES", "tea", "assert", False, "2024-01-01"), ("d", "LIKES", "tea", "retract", False, "2024-05-01")], "subject string, relation string, object string, op string, exclusive boolean, ts string")
     f = memory.facts(log)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import materialize
+from .iterate import bounded, materialize
 
 EARTH_M = 6_371_008.8
 
@@ -28,9 +28,20 @@ def ways(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def bfs(edges: DataFrame, start: list[int], depth: int, types: list[str] | None = None, direction: str = "out") -> DataFrame:
-    """(node, distance) within depth, the starts excluded."""
+    """(node, distance) within depth, the starts excluded.
+
+    Edges are written once and only joined: repeated ones do no harm, so what is
+    aggregated are the nodes of a level.
+    """
     spark = edges.sparkSession
-    e = ways(edges if not types else edges.filter(F.col("type").isin(types)), direction).select("from", "to").distinct()
+    pairs = materialize((edges if not types else edges.filter(F.col("type").isin(types))).select("src", "dst"))
+    e = ways(pairs.select(F.lit(0).alias("id"), "src", "dst", F.lit("").alias("type"), F.lit(1.0).alias("weight")), direction).select("from", "to")
+    with bounded(spark, e.count()):
+        return _levels(e, start, depth)
+
+
+def _levels(e: DataFrame, start: list[int], depth: int) -> DataFrame:
+    spark = e.sparkSession
     seen = spark.createDataFrame([(s, 0) for s in start], "node long, distance int")
     frontier = seen
     for d in range(1, depth + 1):
@@ -113,6 +124,12 @@ def _relax(edges: DataFrame, start: list[int], cost: str, direction: str, max_co
         parts.append(e.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("id").alias("rel"), c.alias("c")))
     e = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     e = materialize(e.filter("c is not null"))
+    with bounded(spark, e.count()):
+        return _settle(e, start, max_cost, rounds)
+
+
+def _settle(e: DataFrame, start: list[int], max_cost: float | None, rounds: int) -> DataFrame:
+    spark = e.sparkSession
     if not e.filter("c < 0").isEmpty():
         raise ValueError("a cost is negative")
     best = spark.createDataFrame([(s, 0.0) for s in start], "node long, cost double").select("node", "cost", F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("rel"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions.keywords import STOPWORDS
 from .operators import centrality, entities, groups, memory, rag, search, traverse
+from .operators.iterate import bounded, materialize
 from .plans.testgraph import star
 
 FLAGSHIP = """
@@ -69,10 +70,16 @@ CYPHER: dict[str, tuple[str, str]] = {
 }
 
 
+def _supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its edges (src, dst), one for each line item."""
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
+
+
 def _supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The whole graph of suppliers (negative) and the parts that their line items hold: nodes id, edges src, dst, weight."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    edges = line.select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    line = _supplied(spark, sf_dir)
+    with bounded(spark, line.count()):
+        edges = materialize(line.distinct())
     edges = edges.select(F.xxhash64("src", "dst").alias("id"), "src", "dst", F.lit("S").alias("type"), F.lit(1.0).alias("weight"))
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return nodes.withColumn("labels", F.array(F.lit("N"))), edges
@@ -188,7 +195,7 @@ BUILT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pagerank_personalized": lambda s, d: (lambda n, e: _rounded(centrality.pagerank(n, e, iterations=4, tolerance=0.0, seeds=s.createDataFrame([(3, 1.0)], "id long, weight double"))))(*_traders(s, d)),
     "wcc": _graph(groups.wcc, _supply), "scc": _graph(groups.scc), "triangles": _graph(centrality.triangles), "closeness": _graph(centrality.closeness), "betweenness": _graph(centrality.betweenness, _traders),
     "louvain": _graph(groups.louvain, _traders), "ricci_curvature": _graph(lambda n, e: groups.ricci(e), _traders),
-    "bfs": lambda s, d: traverse.bfs(_supply(s, d)[1], [-2], 3, direction="both"), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_traders(s, d)[1], 3, 21),
+    "bfs": lambda s, d: traverse.bfs(_supplied(s, d), [-2], 3, direction="both"), "reachable": _weighted, "weighted_path": lambda s, d: traverse.weighted_path(_traders(s, d)[1], 3, 21),
     "graph_expand": lambda s, d: traverse.expand(*_busy(s, d), [3], 2).select("node", "distance"),
     "spatial_nearest": _points, "fts_bm25": lambda s, d: _rounded(search.fts(_docs(s, d), "license", 20)), "text_fuzzy": _fuzzy,
     "vector_query": lambda s, d: (lambda v, q: _rounded(search.vector_query(v, q, 10)))(*_vectors(s, d)), "hybrid_search": _hybrid,

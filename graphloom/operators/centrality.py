@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import materialize
+from .iterate import bounded, materialize
 
 
 def oriented(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -26,8 +26,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     Out-weights are normalised once; a round is one join on src and one aggregation
     on dst.  Nodes without out-edges hand their mass to the teleport vector.
     """
+    e = materialize(oriented(edges, direction).filter("weight > 0"))
+    with bounded(e.sparkSession, e.count()):
+        return _ranked(nodes, e, damping, iterations, tolerance, seeds)
+
+
+def _ranked(nodes: DataFrame, e: DataFrame, damping: float, iterations: int, tolerance: float, seeds: DataFrame | None) -> DataFrame:
     ids = nodes.select("id").distinct()
-    e = oriented(edges, direction).filter("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    e = e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = e.groupBy("src").agg(F.sum("weight").alias("total"))
     e = materialize(e.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     has_out = e.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))

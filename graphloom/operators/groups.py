@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .centrality import simple
 from .components import connected_components
-from .iterate import materialize
+from .iterate import bounded, materialize
 
 #: A component of more edges than this is not handed to one task.
 LOCAL_EDGES = 2_000_000
@@ -31,7 +31,9 @@ def wcc_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def wcc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _numbered(materialize(wcc_roots(nodes, edges)))
+    pairs = materialize(edges.select("src", "dst"))
+    with bounded(pairs.sparkSession, 2 * pairs.count()):
+        return _numbered(materialize(wcc_roots(nodes, pairs)))
 
 
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:

@@ -120,6 +120,33 @@ def test_traversal(g, spark):
     assert traverse.expand(nodes, edges, [0], 2, max_nodes=3).count() == 3
 
 
+def test_partitions_follow_the_edges(spark, g, monkeypatch):
+    """Iterations over more edges use more partitions, not larger ones; the session's settings are as before afterwards."""
+    from graphloom.operators import iterate
+
+    used = []
+    real = iterate.materialize
+
+    def noted(df):
+        used.append((int(spark.conf.get("spark.sql.shuffle.partitions")), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")))
+        return real(df)
+
+    monkeypatch.setattr(iterate, "PARTITION_ROWS", 5)
+    for module in (centrality, groups, traverse):
+        monkeypatch.setattr(module, "materialize", noted)
+    nodes, edges = g
+    twice = edges.union(edges)
+    before = [spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")]
+    want = [got(traverse.bfs(edges, [0], 3)), got(groups.wcc(nodes, edges))]
+    for run in (lambda: traverse.bfs(twice, [0], 3), lambda: groups.wcc(nodes, twice), lambda: centrality.pagerank(nodes, twice, iterations=2), lambda: traverse.reachable(nodes, twice, 0, 5.0)):
+        used.clear()
+        out = run()
+        if want:
+            assert got(out) == want.pop(0)
+        assert max(n for n, _ in used) >= edges.count() * 2 // 5 > int(before[0]) and used[-1][1] == str(8 << 20)
+        assert before == [spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")]
+
+
 def test_weighted_paths(spark):
     w = [(0, 1, 60), (1, 2, 60), (0, 2, 150), (2, 3, 500)]
     nodes, edges = plain(spark, w).frames()

@@ -7,7 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from .traverse import expand
 
 TEXT = ("name", "title", "description", "body", "text")
 CUT = ("body", "text", "description", "quote")
+PIECES = 1 << 20  # characters of pieces that a Python worker holds before it hands them on
 HIDDEN = ("Message", "ReasoningTrace", "ContextTrace", "Community", "IngestJob", "IngestItem")
 
 
@@ -218,12 +219,26 @@ def chunk(text: str, size: int = 1500, overlap: int | None = None) -> list[tuple
 def chunks(docs: DataFrame, size: int = 1500, overlap: int | None = None) -> DataFrame:
     """(id, position, offset, length, text) of documents (id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *c) for i, t in zip(pdf["id"], pdf["text"]) for c in chunk(t or "", size, overlap)]
-            yield pd.DataFrame(rows, columns=["id", "position", "offset", "length", "text"])
-
-    return docs.select("id", "text").mapInPandas(run, "id long, position int, offset int, length int, text string")
+    names = ["id", "position", "offset", "length", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # one text at a time is a Python string, whatever the batch, and few pieces wait
+            columns, held = [[] for _ in names], 0
+            for i, t in zip(batch.column(0), batch.column(1)):
+                i = i.as_py()
+                for c in chunk(t.as_py() or "", size, overlap):
+                    for column, value in zip(columns, (i, *c)):
+                        column.append(value)
+                    held += c[2]
+                    if held >= PIECES:
+                        yield pieces(columns)
+                        columns, held = [[] for _ in names], 0
+            yield pieces(columns)
+
+    def pieces(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.int32()] * 3, pa.string()))], names)
+
+    return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, position int, offset int, length int, text string")
 
 
 def verify_quotes(found: DataFrame, pieces: DataFrame) -> DataFrame:

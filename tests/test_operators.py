@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,21 @@ def test_rag(spark):
     assert all(p[2] <= 40 for p in pieces) and pieces[0][3].endswith(". ")
 
 
+def test_pieces_are_handed_on(spark):
+    """Pieces of many texts leave in small batches, and are those of each text."""
+    texts = [None, "", *["Wörter und mehr. " * n for n in (1, 90, 200, 7000)], "😀 " * 900] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1)
+    whole = rag.chunks(docs)
+    got = sorted(map(tuple, whole.collect()))
+    assert got == sorted((i, *c) for i, t in enumerate(texts) for c in rag.chunk(t or ""))
+    made = []
+    fake = type("D", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: made.append(run)})()
+    rag.chunks(fake)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    sizes = [sum(b.column(3).to_pylist()) for b in made[0](iter([batch]))]
+    assert sum(sizes) == sum(g[3] for g in got) and max(sizes) < rag.PIECES + 1500 < sum(sizes)
+
+
 def test_procedures_in_queries(spark):
     e = Engine(plain(spark, EDGES, N))
     top = e.cypher("CALL any.pagerank({maxIterations: 5}) YIELD node, score RETURN node.name AS n, score ORDER BY score DESC LIMIT 1").collect()

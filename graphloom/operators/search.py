@@ -7,8 +7,11 @@ grams: documents are exploded after a cheap containment filter, not before.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,16 +75,61 @@ def fuzzy(values: DataFrame, query: str, max_edits: int) -> DataFrame:
     return near.select(F.col("id").alias("node"), d.cast("long").alias("distance")).filter("distance >= 0").orderBy("distance", "node")
 
 
+#: Commonest terms whose document frequency every task is given, and documents that Python rates at once.
+HEAD_TERMS, RATED_ROWS = 50_000, 1_000
+
+
+def _runs(ws: Column) -> Column:
+    """(term, tf) of a list of words, in order of the terms."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w, at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))
+    return F.when(F.size(ws) > 0, let(F.sort_array(ws), lambda w: let(starts(w), lambda at: runs(w, at))))
+
+
 def keywords(docs: DataFrame, k: int, stem: bool = False) -> DataFrame:
-    """(id, rank, term, score): top terms of each document by tf * idf over all documents, ties alphabetical."""
+    """(id, rank, term, score): top terms of each document by tf * idf over all documents, ties alphabetical.
+
+    Terms are counted inside a document.  The document frequencies of the commonest are
+    given to every task, which drops what k better ones of the same document outdo; only
+    what is left and rarer terms are shuffled.
+    """
     ws = F.filter(words(F.col("text")), lambda w: ~w.isin(*STOPWORDS) & (F.length(w) > 1))
     ws = porter_column(ws) if stem else ws
-    tf = docs.select("id", F.explode(ws).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     n = docs.count()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").withColumn("score", F.col("tf") * F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "term")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "term", "score")
+    best = lambda scored: scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "term", "score")
+    if not docs.groupBy("id").count().filter("count > 1").isEmpty():  # rows of one id are one document
+        tf = docs.select("id", F.explode(ws).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        return best(tf.join(df, "term").withColumn("score", F.col("tf") * idf))
+    counted = materialize(docs.select("id", _runs(ws).alias("runs")))
+    df = materialize(counted.select(F.explode("runs.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    head = df.orderBy(F.desc("df"), "term").limit(HEAD_TERMS).select("term", idf.alias("idf")).toArrow()
+    known = docs.sparkSession.sparkContext.broadcast((head["term"].to_pylist(), head["idf"].to_numpy()))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(known.value[0], pa.string())
+        idfs = np.append(known.value[1], np.inf)  # a term that isn't known here stays
+        for batch in batches:
+            for at in range(0, batch.num_rows, RATED_ROWS):
+                ids, runs = (c.slice(at, RATED_ROWS) for c in batch.columns)
+                row, flat = pc.list_parent_indices(runs).to_numpy(), pc.list_flatten(runs)
+                term, tf = pc.struct_field(flat, "term"), pc.struct_field(flat, "tf")
+                place = pc.fill_null(pc.index_in(term, value_set=terms), len(terms)).to_numpy()
+                score = tf.to_numpy() * idfs[place]
+                rare = place == len(terms)
+                common = np.flatnonzero(~rare)
+                common = common[np.lexsort((-score[common], row[common]))]  # stable: equal scores stay in order of terms
+                first = np.searchsorted(row[common], row[common])
+                keep = np.sort(np.concatenate([common[np.arange(len(common)) - first < k], np.flatnonzero(rare)]))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[keep])), term.take(pa.array(keep)), tf.take(pa.array(keep)), pa.array(score[keep], pa.float64(), mask=rare[keep])], ["id", "term", "tf", "score"])
+
+    left = counted.filter("runs is not null").mapInArrow(rate, f"id {docs.schema['id'].dataType.simpleString()}, term string, tf long, score double")
+    left = materialize(left)
+    rare = left.filter("score is null").drop("score").join(df, "term").select("id", "term", (F.col("tf") * idf).alias("score"))
+    return best(left.filter("score is not null").select("id", "term", "score").union(rare))
 
 
 def facets(terms: DataFrame, threshold: float = 0.34) -> DataFrame:

@@ -200,6 +200,29 @@ def test_stems_and_keywords(spark):
     assert [(r.id, r.term) for r in search.keywords(docs, 1).orderBy("id").collect()] == [(1, "cats"), (2, "birds")]
 
 
+def test_keywords_against_loop(spark, monkeypatch):
+    """Rare and common terms, ties, empty and missing texts, repeated and missing ids."""
+    r = random.Random(6)
+    pool = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choices(pool, [1 / (i + 1) for i in range(40)], k=r.randint(1, 60))) for _ in range(80)] + ["", None, "the of", "Ünique ünique émile"]
+    monkeypatch.setattr(search, "HEAD_TERMS", 15)
+    monkeypatch.setattr(search, "RATED_ROWS", 7)
+    for ids in (list(range(len(texts))), [None, *range(1, len(texts))], [i // 2 if i % 5 else None for i in range(len(texts))]):
+        tf = {}
+        for i, t in zip(ids, texts):
+            for x in (t or "").lower().split():
+                if x not in ("the", "of"):
+                    tf.setdefault(i, {}).setdefault(x, 0)
+                    tf[i][x] += 1
+        df = {x: sum(x in d for d in tf.values()) for d in tf.values() for x in d}
+        score = lambda c, x: c * math.log(1 + (len(texts) - df[x] + 0.5) / (df[x] + 0.5))  # noqa: E731, B023
+        want = {(i, n + 1, x) for i, d in tf.items() for n, (_, x) in enumerate(sorted((-round(score(c, x), 9), x) for x, c in d.items())[:3])}
+        found = search.keywords(spark.createDataFrame(list(zip(ids, texts)), "id long, text string"), 3)
+        assert {(row.id, row["rank"], row.term) for row in found.collect()} == want
+        if len(set(ids)) == len(ids):  # no term is shuffled with its document to be counted
+            assert "id#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x and "term" in x.split("hashpartitioning")[1].split(")")[0])
+
+
 def test_entities(spark):
     n = spark.createDataFrame([(1, "Пушкин", "PERSON"), (2, "А. С. Пушкин", "PERSON"), (3, "Пушкина", "LOCATION"), (4, "анна петровна смирнова", "PERSON"), (5, "а п смирнова", "PERSON")], "id long, name string, type string")
     rows = entities.candidates(n, blocking="token").collect()
